@@ -23,19 +23,19 @@ HALVINGS = 40
 TOKENS = "coalesce((length(text) + 3) DIV 4, 0)"
 
 
-def weights(sizes: DataFrame, repetition: float | None, entropy: float | None, budget: int | None) -> DataFrame:
+def weights(sizes: DataFrame, repetition: float | None, entropy: float | None, share: float | None) -> DataFrame:
     """(source, tokens, weight, budget) from sizes (source, tokens > 0).
 
     repetition: the flattest exponent at which no source is read more than so many times over. entropy: the steepest
-    exponent at which the weights' entropy is at least that share of its maximum. budget: tokens in all; None for the
-    least at which each source is read in whole at least once (repetition then bounds the rarest against that).
+    exponent at which the weights' entropy is at least that share of its maximum. share: the budget, as a multiple of all
+    tokens; None for the least at which each source is read in whole at least once (repetition then bounds the rarest against that).
     """
     assert (repetition is None) != (entropy is None)
     one = sizes.agg(F.array_sort(F.collect_list(F.col("tokens").cast("double"))).alias("n"), F.sum("tokens").cast("double").alias("total"))
     power = lambda a: F.aggregate("n", F.lit(0.0), lambda s, x: s + F.pow(x / F.col("total"), a))
     if repetition is not None:
         least, most = F.element_at("n", 1) / F.col("total"), F.element_at("n", -1) / F.col("total")
-        times = (lambda a: F.pow(least, a - 1) / F.pow(most, a - 1)) if budget is None else lambda a: budget / F.col("total") * F.pow(least, a - 1) / power(a)
+        times = (lambda a: F.pow(least, a - 1) / F.pow(most, a - 1)) if share is None else lambda a: share * F.pow(least, a - 1) / power(a)
         low, high = F.lit(0.0), F.lit(1.0)
         steeper = lambda a: times(a) > repetition
         pick = "high"
@@ -55,21 +55,21 @@ def weights(sizes: DataFrame, repetition: float | None, entropy: float | None, b
     settled = one.select(F.round(found[pick], 6).alias("a"), "n", "total").select("a", "total", power(F.col("a")).alias("scale"), (F.element_at("n", -1) / F.col("total")).alias("top"))
     weight = F.round(F.pow(F.col("tokens") / F.col("total"), F.col("a")) / F.col("scale"), 9)
     # each source whole at least once: the largest needs weight * budget = its tokens
-    whole = F.lit(float(budget)) if budget is not None else F.col("top") * F.col("total") / (F.pow("top", "a") / F.col("scale"))
+    whole = share * F.col("total") if share is not None else F.col("top") * F.col("total") / (F.pow("top", "a") / F.col("scale"))
     deal = F.floor(weight * whole).cast("long")
-    if budget is None:
+    if share is None:
         deal = F.greatest(deal, F.col("tokens"))
     return sizes.crossJoin(F.broadcast(settled)).select("source", "tokens", weight.alias("weight"), deal.alias("budget"))
 
 
-def mix(docs: DataFrame, repetition: float | None = 4.0, entropy: float | None = None, budget: int | None = None, seed: int = 17, tokens: str = TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(docs: DataFrame, repetition: float | None = 4.0, entropy: float | None = None, share: float | None = None, seed: int = 17, tokens: str = TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs (doc_id, text, source, any more columns) as often as their source's weight asks, with `epoch` (0 for the first).
 
     tokens: SQL for a row's tokens. A row comes once in each whole epoch of its source; of the last epoch come the blocks
     that the budget holds, in the order of a hash, and of the block where it ends the rows that still fit, likewise.
     A null source is one source of its own. Sources without tokens (null or empty texts only) come once, unweighted. Rows
     that repeat are rows like others, ties in the hash order go by doc_id. No rows give no rows. Should docs have a column
-    epoch, it goes. See weights() for repetition, entropy and budget.
+    epoch, it goes. See weights() for repetition, entropy and share.
     """
     names = [c for c in docs.columns if c != "epoch"]
     inner = [c for c in ("_tokens", "_block", "_key") if c in names]
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, repetition: float | None = 4.0, entropy: float | None =
     rows = docs.select(*names, F.expr(tokens).cast("long").alias("_tokens"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"))
     sums = cut(rows.groupBy("source", F.substring("_key", 1, 7).alias("part")).agg(F.sum("_tokens").alias("tokens")), "parts")
     sizes = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    told = cut(weights(cut(sizes, "sizes"), repetition, entropy, budget).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long")), "weights")
+    told = cut(weights(cut(sizes, "sizes"), repetition, entropy, share).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long")), "weights")
     number = lambda key: F.conv(key, 16, 10).cast("long") % F.col("blocks")
     plan = told.select(F.col("source").alias("s"), "blocks", (F.col("budget") / F.col("tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest"))
     blocks = sums.join(plan, sums["source"].eqNullSafe(F.col("s"))).groupBy("s", "whole", "rest", number(F.col("part")).alias("b")).agg(F.sum("tokens").alias("tokens"))
