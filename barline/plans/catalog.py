@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from barline.plans import relational, series
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**series.QUERIES, **relational.QUERIES}
+ORACLE_SQL = {**series.ORACLE_SQL, **relational.ORACLE_SQL}
