@@ -48,6 +48,7 @@ def matched_controls(events: DataFrame, candidates: DataFrame, family: list[str]
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join([f"{k} {kinds[k]}" for k in family] + ["context string, event_at long, control_at long"])
+    candidates = candidates.toDF(*candidates.columns)  # columns of its own, should both come from one frame
     return events.groupBy(*family, "context").cogroup(candidates.groupBy(*family, "context")).applyInPandas(run, schema)
 
 
