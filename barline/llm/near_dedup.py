@@ -4,10 +4,10 @@ Documents with equal shingle sets are one class, which its smallest id stands fo
 the signatures are compared a batch at a time, and a pair goes as soon as the posterior probability that its similarity
 reaches the threshold falls under `miss`. Survivors are verified on the full shingle sets.
 
-Work in a bucket is bounded: buckets with the same members are looked at once; a bucket of more than BLOCK classes is
-dealt out as pairs of blocks to different tasks. Of the survivors in a block only a maximum spanning forest (fewer links
-than members) is verified first; the rest is verified in a second round, and there only in buckets whose members are not
-yet one component. A link within a component changes nothing, so no component is lost by leaving it out.
+Survivors are verified where their bucket is, on the full shingle sets, which come along for classes that share a bucket
+with another. Only links that join something new leave the task, fewer than it has members. Buckets with the same members
+are looked at once. A bucket of more than BLOCK classes is dealt out: first each block by itself and with the first block;
+then, where its members are not yet one component, all pairs of blocks, but only classes of different components.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared at a time.
 BATCH = 26
 #: Classes in a block.
-BLOCK = 512
+BLOCK = 1024
 #: Posterior probability under which a pair is pruned.
 MISS = 1e-7
 
@@ -64,34 +64,43 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band of each signature."""
+    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
+    for k in range(ROWS):
+        out = kernels.splitmix(out ^ rows[:, :, k])
+    return out.view(np.int64)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[int], np.ndarray]]:
+    """For parts of the rows (id, text): ids, shingle sets, places of those not empty, and their signatures."""
     for batch in batches:
         buf, off = kernels.byte_view(batch.column(1))
         for a, b in kernels.slices(off):
             sets = kernels.shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            sig: list[bytes | None] = [None] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
-            if full:
-                for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
-                    sig[i] = row.tobytes()
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column(0).slice(a, b - a),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    "sig": pa.array(sig, pa.binary()),
-                }
-            )
+            yield batch.column(0).slice(a, b - a), sets, full, signatures([sets[i] for i in full]) if full else np.zeros((0, HASHES), np.uint32)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, sets, full, sig in _each(batches):
+        bands: list[np.ndarray | None] = [None] * len(sets)
+        for i, row in zip(full, _bands(sig), strict=True):
+            bands[i] = row
+        yield pa.record_batch(
+            {
+                "doc_id": ids,
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                "bands": pa.array(bands, pa.list_(pa.int64())),
+            }
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = kernels.byte_view(batch.column(1))
-        for a, b in kernels.slices(off):
-            sets = kernels.shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))
-            yield pa.record_batch({"rep": batch.column(0).slice(a, b - a), "shingles": lists})
+    for ids, sets, full, sig in _each(batches):
+        yield pa.record_batch({"rep": ids.take(pa.array(full, pa.int64())), "shingles": pa.array([sets[i].tobytes() for i in full], pa.binary()), "sig": pa.array([r.tobytes() for r in sig], pa.binary())})
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -131,29 +140,55 @@ def surviving(sig: np.ndarray, left: np.ndarray, right: np.ndarray, floor: list[
     return left, right, hits
 
 
-def _forest(left: np.ndarray, right: np.ndarray, hits: np.ndarray) -> list[int]:
-    up: dict[int, int] = {}
+class Joined:
+    """Sets of numbers that grow together."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        up = self.up
         while up.setdefault(x, x) != x:
             up[x] = x = up[up[x]]
         return x
 
-    out = []
-    for i in np.argsort(-hits, kind="stable").tolist():
-        x, y = top(int(left[i])), top(int(right[i]))
-        if x != y:
-            up[x] = y
-            out.append(i)
+    def join(self, x: int, y: int) -> None:
+        self.up[self.top(x)] = self.top(y)
+
+
+def verified(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, hits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (left, right) of sets, likeliest first, those that link and whose ends no earlier one has joined."""
+    size = np.array([len(s) for s in sets])
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    off = np.cumsum([0, *size.tolist()])
+    mark = np.zeros(int(local.max()) + 1, np.int64)
+    order = np.lexsort((-hits, left))
+    joined, out = Joined(), []
+    left, right = left[order], right[order]
+    begin = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(left)], strict=True):
+        i = int(left[a])
+        others = [int(j) for j in right[a:b] if joined.top(int(label[j])) != joined.top(int(label[i]))]
+        if not others:
+            continue
+        mark[local[off[i] : off[i + 1]]] = 1
+        for j in others:
+            if joined.top(int(label[j])) == joined.top(int(label[i])):
+                continue
+            both = int(mark[local[off[j] : off[j + 1]]].sum())
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                joined.join(int(label[j]), int(label[i]))
+                out.append((i, j))
+        mark[local[off[i] : off[i + 1]]] = 0
     return out
 
 
-def _candidates(floor: list[int], forest: bool):
-    """Rows (bucket, part, rep, label, side, sig), sorted by bucket and part, to links that may reach the threshold."""
+def _links(floor: list[int], percent: int):
+    """Rows (bucket, part, rep, label, side, sig, shingles), sorted by bucket and part, to links of different labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_a: list[int] = []
-        found_b: list[int] = []
+        a: list[int] = []
+        b: list[int] = []
         for table in groups(batches, 2):
             rep, label, side = (table.column(c).to_numpy() for c in ("rep", "label", "side"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
@@ -164,53 +199,45 @@ def _candidates(floor: list[int], forest: bool):
                 other = other[label[other] != label[i]]
                 if len(other):
                     kept.append(surviving(sig, np.full(len(other), i), other, floor))
-            if not kept:
-                continue
-            x, y, hits = (np.concatenate(c) for c in zip(*kept, strict=True))
-            if forest and len(x):
-                chosen = _forest(x, y, hits)
-                x, y = x[chosen], y[chosen]
-            found_a += rep[x].tolist()
-            found_b += rep[y].tolist()
-            if len(found_a) > 50_000:
-                yield pa.record_batch({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-                found_a, found_b = [], []
-        if found_a:
-            yield pa.record_batch({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            left, right, hits = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, int),) * 3
+            if len(left):
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+                for i, j in verified(sets, label, left, right, hits, percent):
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _compare(members: DataFrame, floor: list[int], forest: bool) -> DataFrame:
-    """members: (bucket, n, rep, label, sig). Buckets of over BLOCK rows are dealt out as pairs of blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(F.col("rep")), blocks).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket",
-            (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long").alias("part"),
-            "rep",
-            "label",
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-            "sig",
-        )
+def _compare(members: DataFrame, sets: DataFrame, floor: list[int], percent: int, every: bool) -> DataFrame:
+    """Links (a, b) among members (bucket, n, rep, label). Of buckets of over BLOCK rows either the blocks by themselves and
+    with the first block, or (every) all pairs of blocks."""
+    blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    all_ = F.sequence(F.lit(0), F.col("blocks") - 1)
+    partners = all_ if every else F.when(F.col("mine") == 0, all_).otherwise(F.array(F.lit(0), F.col("mine")))
+    dealt = blocks.withColumn("other", F.explode(partners)).select(
+        "bucket",
+        (F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")).alias("part"),
+        "rep",
+        "label",
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
     )
+    dealt = dealt.join(sets, "rep").select("bucket", "part", "rep", "label", "side", "sig", "shingles")
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(_candidates(floor, forest), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(_links(floor, percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (rep, text) of docs whose doc_id is in ids (rep).
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach percent / 100."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    named = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep"])
-    sets = cut(named.mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
-    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(first, "a").join(second, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    A bit map of 2**23 places, at most 2**17 rows whatever the input, drops most other rows before texts are shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 AS int))")
+    words = cut(ids.select(place(F.col("rep")).alias("at")).groupBy(F.expr("at DIV 64").alias("word")).agg(F.bit_or(bit("at")).alias("bits")), "bits")
+    near = docs.select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("at")).join(F.broadcast(words), F.expr("at DIV 64") == F.col("word"))
+    return near.where(F.col("bits").bitwiseAND(bit("at")) != 0).select("rep", "text").join(ids, "rep", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -226,33 +253,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     """
     assert 80 <= percent <= 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = cut(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, sig binary"), "described")
+    told = cut(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
     some = told.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(
-        some.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")),
-        "classes",
-    )
-    width = 4 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
-    banded = classes.select("rep", F.explode(keys).alias("bucket"))
+    classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+    classes = cut(classes, "classes")
+    banded = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y")
     )
     buckets = buckets.where("n > 1").groupBy("n", "least", "most", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = cut(banded.join(cut(buckets, "buckets"), "bucket"), "members")
+    ends = cut(members.select("rep").distinct(), "ends")
+    sets = cut(_texts_of(docs, ends).mapInArrow(_sets, "rep long, shingles binary, sig binary").dropDuplicates(["rep"]), "sets")
     floor = least_matches(percent / 100, miss)
-    signed = members.join(classes.select("rep", "sig"), "rep")
-    first = cut(_compare(signed.withColumn("label", F.col("rep")), floor, True), "pairs")
-    links = cut(_verified(first, docs, percent), "verified")
+    links = cut(_compare(members.withColumn("label", F.col("rep")), sets, floor, percent, False), "links")
     roots = cut(components(links), "roots")
-    labelled = members.join(roots, members["rep"] == roots["node"], "left").select("bucket", "n", "rep", F.coalesce("component_id", "rep").alias("label"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    again = labelled.join(open_, "bucket", "left_semi").join(classes.select("rep", "sig"), "rep")
-    second = cut(_compare(again, floor, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        more = cut(_verified(second, docs, percent), "verified")
-        if more.limit(1).count():
-            roots = cut(components(links.union(more)), "roots")
+    large = members.where(F.col("n") > BLOCK)
+    if large.limit(1).count():
+        labelled = large.join(roots, large["rep"] == roots["node"], "left").select("bucket", "n", "rep", F.coalesce("component_id", "rep").alias("label"))
+        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        more = cut(_compare(labelled.join(open_, "bucket", "left_semi"), sets, floor, percent, True), "links")
+        roots = cut(components(links.union(more)), "roots")
     # the hot class's rows meet its one row here: a plain join, which AQE splits where a key is skewed
     ends = cut(classes.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id")), "ends")
     return told.join(ends, "set_key", "left").select(
