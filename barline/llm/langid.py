@@ -155,6 +155,8 @@ def positions(p: dict[str, np.ndarray], seq: np.ndarray) -> np.ndarray:
 
 def document_probabilities(p: dict[str, np.ndarray], buf: np.ndarray, off: np.ndarray, rows_at_once: int = 2048) -> np.ndarray:
     """For each row the mean over its letter positions; all 0 if it has none."""
+    if not len(p["c"]):
+        return np.zeros((len(off) - 1, 0))
     size = np.diff(off)
     count = -(-size // WINDOW)
     place = np.cumsum(count) - count
