@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries at which a memory of text units, pieces or token pairs starts afresh, and one of transitions.
-REMEMBERED, MOVES = 400_000, 400_000
+#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 250 MB together.
+UNITS, PIECES, PAIRS, MOVES = 250_000, 100_000, 200_000, 100_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -40,16 +40,13 @@ class Transducer:
         self.token = {i: b for b, i in ranks.items()}
         self.begun = {b[:k] for b in ranks for k in range(1, len(b))}
         self.lookahead = max(map(len, ranks), default=0)
-        self._fine: dict[tuple[int, int], bool] = {}
+        self._fine: dict[int, bool] = {}
         self._ends: dict[int, tuple[list, list, bool] | None] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        #: state number -> (token before, bytes since, last token of each prefix of these); number 0 is the start
-        self._states: list[tuple[int, bytes, tuple]] = [(-1, b"", (-1,))]
-        self._number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        #: state number * 256 + byte -> (tokens emitted, state number)
-        self._moves: dict[int, tuple[tuple[int, ...], int]] = {}
+        #: (token before, bytes since, last token of each prefix of these, places where a token can begin, number or -1)
+        self._start = (-1, b"", (-1,), (0,), 0)
+        self._known: dict[tuple[int, bytes], tuple] = {(-1, b""): self._start}
+        #: state number * 256 + byte -> (tokens emitted, state); once MOVES are known, others are worked out anew
+        self._moves: dict[int, tuple[tuple[int, ...], tuple]] = {}
 
     def merged(self, piece: bytes, parts_left: int = 1) -> list[bytes]:
         """The definition: merge the neighbouring parts of least rank, the leftmost first, until none has a rank or few are left."""
@@ -82,9 +79,9 @@ class Transducer:
 
     def _follows(self, one: int, two: int) -> bool:
         """Whether token two can stand after token one (-1: at the start): no merge over the boundary comes before those that make them."""
-        found = self._fine.get((one, two))
+        found = self._fine.get(one << 32 | two)
         if found is None:
-            if len(self._fine) > REMEMBERED:
+            if len(self._fine) > PAIRS:
                 self._fine.clear()
             right = self._edges(two)
             left = self._edges(one) if one >= 0 else None
@@ -94,7 +91,7 @@ class Transducer:
                 found = self.merged(self.token[one] + self.token[two]) == [self.token[one], self.token[two]]
             else:
                 found = self._apart(left[0], right[1])
-            self._fine[one, two] = found
+            self._fine[one << 32 | two] = found
         return found
 
     def _apart(self, left: list, right: list) -> bool:
@@ -113,36 +110,38 @@ class Transducer:
             else:
                 j += 1
 
-    def _last(self, before: int, tail: bytes, last: tuple, end: int) -> int:
-        """The last token of tail[:end], given those of the shorter prefixes (None where no token can begin)."""
-        for begin in range(end):
-            prior = before if begin == 0 else last[begin]
-            if prior is not None and (t := self.ranks.get(tail[begin:end])) is not None and self._follows(-1, t) and (prior < 0 or self._follows(prior, t)):
-                return t
-        raise ValueError(f"no token ends {tail[:end]!r}")
-
-    def _advance(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        before, tail, last = self._states[state]
+    def _advance(self, state: tuple, byte: int) -> tuple[tuple[int, ...], tuple]:
+        before, tail, last, open_, _ = state
         tail += bytes((byte,))
         end = len(tail)
-        last = (*last, self._last(before, tail, last, end))
-        token, begun = self.token, self.begun
-        shared, used = None, {end}
-        for k in [end, *(k for k in range(end) if last[k] is not None and tail[k:] in begun)]:
-            path = {k}
-            while k:
-                k -= len(token[last[k]])
-                path.add(k)
-            used |= path
-            shared = path if shared is None else shared & path
-        done = max(shared)
+        ranks, token, begun = self.ranks, self.token, self.begun
+        for begin in open_:  # the one token that ends here; a token goes on only from where one could begin
+            t = ranks.get(tail[begin:])
+            if t is not None and self._follows(before if begin == 0 else last[begin], t):
+                break
+        else:
+            raise ValueError(f"no token ends {tail!r}")
+        last = (*last, t)
+        open_ = [k for k in open_ if tail[k:] in begun]
+        # all open places and the end go back along their tokens until they meet: up to there all is settled
+        heads = {end, *open_}
+        used = set(heads)
+        while len(heads) > 1:
+            k = max(heads)
+            heads.remove(k)
+            k -= len(token[last[k]])
+            heads.add(k)
+            used.add(k)
+        done = heads.pop()
         here = (last[done] if done else before, tail[done:])
-        number = self._number.get(here)
-        if number is None:
-            number = self._number[here] = len(self._states)
+        found = self._known.get(here)
+        if found is None:
             # the entry at the start of the tail is never read; a place that no open path uses has None
-            self._states.append((*here, (-1, *(last[k] if k in used else None for k in range(done + 1, end + 1)))))
-        return self._back(last, done), number
+            kept = (-1, *(last[k] if k in used else None for k in range(done + 1, end + 1)))
+            found = (*here, kept, (*(k - done for k in open_), end - done), len(self._known) if len(self._moves) < MOVES else -1)
+            if found[4] >= 0:
+                self._known[here] = found
+        return self._back(last, done), found
 
     def _back(self, last: tuple, k: int) -> tuple[int, ...]:
         """The tokens from the start of the tail to place k."""
@@ -156,18 +155,18 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._moves) > MOVES:
-            self._restart()
-        moves, state, out = self._moves, 0, []
+        moves, state, out = self._moves, self._start, []
         for byte in piece:
-            move = moves.get(state * 256 + byte)
+            at = state[4] * 256 + byte
+            move = moves.get(at) if at >= 0 else None
             if move is None:
-                move = moves[state * 256 + byte] = self._advance(state, byte)
+                move = self._advance(state, byte)
+                if at >= 0 and len(moves) < MOVES:
+                    moves[at] = move
             if move[0]:
                 out += move[0]
             state = move[1]
-        _, tail, last = self._states[state]
-        return [*out, *self._back(last, len(tail))]
+        return [*out, *self._back(state[2], len(state[1]))]
 
 
 #: A run of white space around a single space; only there may a piece cross a cut before " x".
@@ -182,7 +181,8 @@ class Units:
     """
 
     def __init__(self, encode_many, whole: re.Pattern = _CROSSES):
-        self.encode_many, self.whole, self.memory = encode_many, whole, {}
+        #: what was met lately, and before that: what is met again stays
+        self.encode_many, self.whole, self.memory, self.older = encode_many, whole, {}, {}
 
     def pack(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -194,10 +194,16 @@ class Units:
         try:
             rest = b"".join(map(memory.__getitem__, units))
         except KeyError:
-            new = [u for u in dict.fromkeys(units) if u not in memory]
-            if len(memory) + len(new) > REMEMBERED:
-                memory.clear()
-                new = list(dict.fromkeys(units))
+            if len(memory) > UNITS:
+                self.older, self.memory = memory, {}
+                memory = self.memory
+            older, new = self.older, []
+            for u in dict.fromkeys(units):
+                if u not in memory:
+                    if u in older:
+                        memory[u] = older[u]
+                    else:
+                        new.append(u)
             for k in range(0, len(new), 4096):
                 part = new[k : k + 4096]
                 memory.update(zip(part, self.encode_many([" " + u for u in part]), strict=True))
@@ -272,20 +278,26 @@ class Decoder:
 def encoder(ranks: dict[bytes, int], pattern: str) -> Units:
     """Texts to packed ids by ranks, each match of the pattern separately."""
     machine, split = Transducer(ranks), regex.compile(pattern)
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def many(texts: Iterable[str]) -> list[bytes]:
+        nonlocal known, older
+        if len(known) > PIECES:
+            known, older = {}, known
         out = []
         for text in texts:
-            ids: list[int] = []
+            packed = []
             for piece in split.findall(text):
                 found = known.get(piece)
                 if found is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    found = known[piece] = machine.encode(piece.encode())
-                ids += found
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
+                    found = older.get(piece)
+                    if found is None:
+                        ids = machine.encode(piece.encode())
+                        found = struct.pack(f"<{len(ids)}I", *ids)
+                    known[piece] = found
+                packed.append(found)
+            out.append(b"".join(packed))
         return out
 
     return Units(many)
