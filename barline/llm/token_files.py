@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,6 +34,9 @@ MAGIC = b"BPFR0001"
 BLOCK = 256
 #: Share of a block's differences that its width holds.
 WIDE = 0.9
+#: The pieces of byte-level vocabularies, which the library encodes each by itself, and how many are remembered.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+REMEMBERED = 400_000
 #: A file is closed once it holds so many ids.
 FILE_IDS = 1 << 22
 
@@ -145,8 +149,26 @@ def _units(path: str) -> Units:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+        split, whole = regex.compile(PIECES), regex.compile(r" \p{L}+")
+        known: dict[str, bytes] = {}
+
         def many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            parts = [split.findall(t) for t in texts]
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = list({p for ps in parts for p in ps if p not in known})
+            # a space and letters is one piece wherever it stands, so many go as one text, and each is a word of the result
+            plain = [p for p in new if p[0] == " " and p[1:].isalpha() and whole.fullmatch(p)]
+            for k in range(0, len(plain), 1024):
+                part = plain[k : k + 1024]
+                e = tokenizer.encode("".join(part), add_special_tokens=False)
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), append=-1)) + 1
+                for piece, x, y in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    known[piece] = ids[x:y].tobytes()
+            rest = [p for p in new if p not in known]
+            known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+            return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
         _made[path] = Units(many)
     return _made[path]
