@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 250 MB together.
-UNITS, PIECES, PAIRS, MOVES = 250_000, 100_000, 200_000, 100_000
+#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 350 MB together.
+UNITS, PIECES, PAIRS, MOVES = 400_000, 200_000, 300_000, 250_000
 #: Above every rank.
 NEVER = 1 << 60
 
