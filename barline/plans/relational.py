@@ -233,7 +233,7 @@ _LIQ = "(SELECT unnest([{'lev': 100, 'w': 0.25, 'm': 0.004}, {'lev': 50, 'w': 0.
 
 
 @query(f"""WITH {HOURLY_SQL}, n AS (SELECT *, min(low) OVER f AS later_low, max(high) OVER f AS later_high FROM bars WINDOW f AS {W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-l AS (SELECT symbol, lev, side, 0.15 * volume * w AS size, CASE WHEN side = 1 THEN close * (1 - 1.0 / lev + m) ELSE close * (1 + 1.0 / lev - m) END AS price, later_low, later_high FROM n, {_LIQ}, (SELECT unnest([1, -1]) AS side)),
+l AS (SELECT symbol, lev, side, CAST(0.15 AS DOUBLE) * volume * w AS size, CASE WHEN side = 1 THEN close * (1 - 1.0 / lev + m) ELSE close * (1 + 1.0 / lev - m) END AS price, later_low, later_high FROM n, {_LIQ}, (SELECT unnest([1, -1]) AS side)),
 k AS (SELECT * FROM l WHERE NOT coalesce(CASE WHEN side = 1 THEN later_low <= price ELSE later_high >= price END, false)),
 c AS (SELECT symbol, arg_max(close, open_ms) AS last_close FROM bars GROUP BY symbol)
 SELECT symbol, CAST(ceil((price - 0.85 * last_close) / (0.003 * last_close) - 0.5) AS BIGINT) AS bin, round(sum(size) FILTER (lev = 100), 4) AS lev100, round(sum(size) FILTER (lev = 50), 4) AS lev50, round(sum(size) FILTER (lev = 25), 4) AS lev25, round(sum(size), 4) AS total
