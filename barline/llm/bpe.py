@@ -10,18 +10,25 @@ every token that could still begin or go on leaves it in place, at most the long
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
-import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 350 MB together.
-UNITS, PIECES, PAIRS, MOVES = 400_000, 200_000, 300_000, 250_000
+from barline.llm.scratch import tidy
+
+#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 250 MB
+#: together, held by a task until it ends. More transitions only take more memory: rare ones are as fast worked out anew.
+UNITS, PIECES, PAIRS, MOVES = 300_000, 200_000, 200_000, 60_000
+#: Characters of texts that are encoded together.
+RUN = 1 << 21
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -38,10 +45,19 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.begun = {b[:k] for b in ranks for k in range(1, len(b))}
+        self._size = [0] * (max(self.token, default=-1) + 1)
+        #: bytes that a token is or begins with -> 2 * rank (-2: no token) + whether a longer token goes on from them
+        self._at = {b[:k]: -1 for b in ranks for k in range(1, len(b))}
+        for b, i in ranks.items():
+            self._size[i] = len(b)
+            self._at[b] = 2 * i + (b in self._at)
         self.lookahead = max(map(len, ranks), default=0)
-        self._fine: dict[int, bool] = {}
         self._ends: dict[int, tuple[list, list, bool] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the states and transitions that inputs have asked for."""
+        self._fine: dict[int, bool] = {}
         #: (token before, bytes since, last token of each prefix of these, places where a token can begin, number or -1)
         self._start = (-1, b"", (-1,), (0,), 0)
         self._known: dict[tuple[int, bytes], tuple] = {(-1, b""): self._start}
@@ -114,59 +130,84 @@ class Transducer:
         before, tail, last, open_, _ = state
         tail += bytes((byte,))
         end = len(tail)
-        ranks, token, begun = self.ranks, self.token, self.begun
-        for begin in open_:  # the one token that ends here; a token goes on only from where one could begin
-            t = ranks.get(tail[begin:])
-            if t is not None and self._follows(before if begin == 0 else last[begin], t):
-                break
-        else:
+        at, fine = self._at.get, self._fine.get
+        t, still = -1, []
+        for k in open_:  # one token ends here; a token goes on only from where one could begin
+            found = at(tail[k:])
+            if found is None:
+                continue
+            if found & 1:
+                still.append(k)
+            if t < 0 <= found >> 1:
+                one, two = last[k] if k else before, found >> 1
+                if fine(one << 32 | two) or self._follows(one, two):
+                    t = two
+        if t < 0:
             raise ValueError(f"no token ends {tail!r}")
         last = (*last, t)
-        open_ = [k for k in open_ if tail[k:] in begun]
         # all open places and the end go back along their tokens until they meet: up to there all is settled
-        heads = {end, *open_}
-        used = set(heads)
-        while len(heads) > 1:
-            k = max(heads)
-            heads.remove(k)
-            k -= len(token[last[k]])
-            heads.add(k)
-            used.add(k)
-        done = heads.pop()
-        here = (last[done] if done else before, tail[done:])
-        found = self._known.get(here)
-        if found is None:
-            # the entry at the start of the tail is never read; a place that no open path uses has None
-            kept = (-1, *(last[k] if k in used else None for k in range(done + 1, end + 1)))
-            found = (*here, kept, (*(k - done for k in open_), end - done), len(self._known) if len(self._moves) < MOVES else -1)
-            if found[4] >= 0:
-                self._known[here] = found
-        return self._back(last, done), found
+        size, done = self._size, end
+        for k in still:
+            while k != done:
+                if k > done:
+                    k -= size[last[k]]
+                else:
+                    done -= size[last[done]]
+            if not done:
+                break
+        here = (last[done], tail[done:]) if done else (before, tail)
+        state = self._known.get(here)
+        if state is None:
+            # the entry at the start of the tail is never read
+            rest = (-1, *last[done + 1 :]) if done else last
+            state = (*here, rest, (*(k - done for k in still), end - done), len(self._known) if len(self._moves) < MOVES else -1)
+            if state[4] >= 0:
+                self._known[here] = state
+        return self._back(last, done) if done else (), state
 
     def _back(self, last: tuple, k: int) -> tuple[int, ...]:
         """The tokens from the start of the tail to place k."""
         out = []
         while k:
             out.append(last[k])
-            k -= len(self.token[last[k]])
+            k -= self._size[last[k]]
         return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        moves, state, out = self._moves, self._start, []
-        for byte in piece:
-            at = state[4] * 256 + byte
-            move = moves.get(at) if at >= 0 else None
-            if move is None:
-                move = self._advance(state, byte)
-                if at >= 0 and len(moves) < MOVES:
-                    moves[at] = move
-            if move[0]:
-                out += move[0]
-            state = move[1]
-        return [*out, *self._back(state[2], len(state[1]))]
+        return self.encode_sorted([piece])[0]
+
+    def encode_sorted(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece; a piece goes on from where the one before it begins to differ, so sorted ones are cheapest."""
+        result = []
+        moves, whole, advance, back = self._moves, self.ranks.get, self._advance, self._back
+        read, states, ends, out = b"", [self._start], [0], []
+        for piece in pieces:
+            found = whole(piece)
+            if found is not None:
+                result.append([found])
+                continue
+            same = 0
+            for x, y in zip(read, piece):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
+            del states[same + 1 :], ends[same + 1 :], out[ends[same] :]
+            state = states[-1]
+            for byte in piece[same:]:
+                at = state[4] * 256 + byte
+                move = moves.get(at) if at >= 0 else None
+                if move is None:
+                    move = advance(state, byte)
+                    if at >= 0 and len(moves) < MOVES:
+                        moves[at] = move
+                if move[0]:
+                    out += move[0]
+                state = move[1]
+                states.append(state)
+                ends.append(len(out))
+            read = piece
+            result.append([*out, *back(state[2], len(state[1]))])
+        return result
 
 
 #: A run of white space around a single space; only there may a piece cross a cut before " x".
@@ -184,31 +225,47 @@ class Units:
         #: what was met lately, and before that: what is met again stays
         self.encode_many, self.whole, self.memory, self.older = encode_many, whole, {}, {}
 
-    def pack(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if self.whole.search(text):
-            return self.encode_many([text])[0]
-        units = text.split(" ")
-        first = units.pop(0)
-        memory = self.memory
-        try:
-            rest = b"".join(map(memory.__getitem__, units))
-        except KeyError:
-            if len(memory) > UNITS:
-                self.older, self.memory = memory, {}
-                memory = self.memory
-            older, new = self.older, []
-            for u in dict.fromkeys(units):
-                if u not in memory:
-                    if u in older:
-                        memory[u] = older[u]
-                    else:
-                        new.append(u)
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                memory.update(zip(part, self.encode_many([" " + u for u in part]), strict=True))
-            rest = b"".join(map(memory.__getitem__, units))
-        return (self.encode_many([first])[0] if first else b"") + rest
+    def _recall(self, units: list[str]) -> list[bytes]:
+        """The packed ids of distinct units, each after a space."""
+        if len(self.memory) > UNITS:
+            self.older, self.memory = self.memory, {}
+        memory, older, new = self.memory, self.older, []
+        for u in units:
+            if u not in memory:
+                if u in older:
+                    memory[u] = older[u]
+                else:
+                    new.append(u)
+        for k in range(0, len(new), 1 << 16):
+            part = new[k : k + (1 << 16)]
+            memory.update(zip(part, self.encode_many([" " + u for u in part]), strict=True))
+        return [memory[u] for u in units]
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; each distinct unit of them is looked up once."""
+        halves = [(t, "", "") if self.whole.search(t) else t.partition(" ") for t in texts]
+        packed = self.encode_many([first for first, _, _ in halves])
+        more = [k for k, (_, space, _) in enumerate(halves) if space]
+        if more:
+            split = pc.split_pattern(pa.array([halves[k][2] for k in more], pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            told = pa.array(self._recall(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            data, ends = told.buffers()[2], np.frombuffer(told.buffers()[1], np.int64)
+            at = ends[split.offsets.to_numpy()].tolist()
+            for k, x, y in zip(more, at[:-1], at[1:], strict=True):
+                packed[k] += data[x:y].to_pybytes()
+        return packed
+
+
+def runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(where it begins, texts) of runs of a column of texts, null as empty: as many as come to RUN characters, one at least."""
+    at, held, size = 0, [], 0
+    for k, text in enumerate(column):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= RUN or k + 1 == len(column):
+            yield at, held
+            at, held, size = k + 1, [], 0
 
 
 class Utf8Machine:
@@ -275,9 +332,9 @@ class Decoder:
             yield b"", machine.end()
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> Units:
-    """Texts to packed ids by ranks, each match of the pattern separately."""
-    machine, split = Transducer(ranks), regex.compile(pattern)
+def encoder(machine: Transducer, pattern: str) -> Units:
+    """Texts to packed ids by the machine's ranks, each match of the pattern separately."""
+    split = regex.compile(pattern)
     known: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
@@ -285,32 +342,31 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Units:
         nonlocal known, older
         if len(known) > PIECES:
             known, older = {}, known
-        out = []
-        for text in texts:
-            packed = []
-            for piece in split.findall(text):
-                found = known.get(piece)
-                if found is None:
-                    found = older.get(piece)
-                    if found is None:
-                        ids = machine.encode(piece.encode())
-                        found = struct.pack(f"<{len(ids)}I", *ids)
-                    known[piece] = found
-                packed.append(found)
-            out.append(b"".join(packed))
-        return out
+        parts = [split.findall(text) for text in texts]
+        new: dict[bytes, str] = {}
+        for pieces in parts:
+            for piece in pieces:
+                if piece not in known:
+                    if piece in older:
+                        known[piece] = older[piece]
+                    else:
+                        new[piece.encode()] = piece
+        order = sorted(new)
+        for raw, ids in zip(order, machine.encode_sorted(order), strict=True):
+            known[new[raw]] = array("I", ids).tobytes()
+        return [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in parts]
 
     return Units(many)
 
 
-_made: dict[tuple, tuple[Units, Decoder]] = {}
+_made: dict[str, tuple[Transducer, Decoder]] = {}
 
 
-def _tools(path: str, pattern: str) -> tuple[Units, Decoder]:
-    if (path, pattern) not in _made:
-        ranks = read_ranks(path)
-        _made[path, pattern] = encoder(ranks, pattern), Decoder({i: b for b, i in ranks.items()})
-    return _made[path, pattern]
+def _tools(path: str) -> tuple[Transducer, Decoder]:
+    if path not in _made:
+        machine = Transducer(read_ranks(path))
+        _made[path] = machine, Decoder(machine.token)
+    return _made[path]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -322,25 +378,30 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, decoder = _tools(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                for text in part.column(1):
-                    packed = units.pack(text.as_py() or "")
-                    ids = np.frombuffer(packed, "<u4")
-                    told, said = hashlib.sha256(), []
-                    for data, string in decoder.stream(ids):
-                        told.update(data)
-                        if with_ids:
-                            said.append(string)
-                    rows.append((len(ids), hashlib.sha256(packed).hexdigest(), told.hexdigest(), packed, "".join(said)))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                out = {"doc_id": part.column(0), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())}
-                if with_ids:
-                    out |= {"ids": pa.array(cols[3], pa.binary()), "decoded": pa.array(cols[4], pa.string())}
-                yield pa.record_batch(out)
+        machine, decoder = _tools(path)
+        units = encoder(machine, pattern)
+        gc.disable()  # nothing here makes cycles, and looking for them among so many tuples takes time
+        try:
+            for batch in batches:
+                for at, texts in runs(batch.column(1)):
+                    part = batch.slice(at, len(texts))
+                    rows: list[tuple] = []
+                    for packed in units.pack(texts):
+                        ids = np.frombuffer(packed, "<u4")
+                        told, said = hashlib.sha256(), []
+                        for data, string in decoder.stream(ids):
+                            told.update(data)
+                            if with_ids:
+                                said.append(string)
+                        rows.append((len(ids), hashlib.sha256(packed).hexdigest(), told.hexdigest(), packed, "".join(said)))
+                    cols = list(zip(*rows, strict=True))
+                    out = {"doc_id": part.column(0), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())}
+                    if with_ids:
+                        out |= {"ids": pa.array(cols[3], pa.binary()), "decoded": pa.array(cols[4], pa.string())}
+                    yield pa.record_batch(out)
+        finally:  # the worker may go on to other stages, whose memory this would take
+            gc.enable()
+            machine.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(tidy(run), schema)

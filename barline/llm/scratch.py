@@ -1,13 +1,16 @@
-"""Lineage cuts: tables written to the shared checkpoint folder, and read again.
+"""Lineage cuts: tables written to the shared checkpoint folder, and read again; and memory that tasks give back.
 
 A table that is written survives the loss of any executor, which a local checkpoint does not.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -31,3 +34,18 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives the memory that it freed back to the system at its end: Spark keeps its worker for other tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return tidied

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm import scratch
-from barline.llm.bpe import Units
+from barline.llm.bpe import Units, runs
 
 MAGIC = b"BPFR0001"
 #: Ids in a block: a multiple of 64, so that blocks are whole 64-bit words.
@@ -199,15 +199,16 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, file_ids:
 
         store.create_dir(base, recursive=True)
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1), strict=True):
-                names.append(name.as_py())
-                held.append(np.concatenate([np.frombuffer(units.pack(text.as_py() or ""), "<u4"), end]))
-                size += len(held[-1])
-                if size >= file_ids:
-                    yield close()
-                    number, size = number + 1, 0
-                    names.clear()
-                    held.clear()
+            for at, texts in runs(batch.column(1)):
+                for name, packed in zip(batch.column(0).slice(at, len(texts)), units.pack(texts), strict=True):
+                    names.append(name.as_py())
+                    held.append(np.concatenate([np.frombuffer(packed, "<u4"), end]))
+                    size += len(held[-1])
+                    if size >= file_ids:
+                        yield close()
+                        number, size = number + 1, 0
+                        names.clear()
+                        held.clear()
         if names:
             yield close()
 
