@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import kernels
+from barline.llm.scratch import tidy
 
 WINDOW, HIDDEN = 64, 8
 #: Training takes at most so many documents of each of the most frequent languages, and so many characters of each document.
@@ -201,7 +202,7 @@ def predict(docs: DataFrame, p: dict[str, np.ndarray], langs: list[str]) -> Data
                 yield pa.record_batch([*batch.slice(a, b - a).columns, pa.array(said), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["lang_pred string", "score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[int], list[str]]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import kernels
 from barline.llm.components import components
-from barline.llm.scratch import cut
+from barline.llm.scratch import cut, tidy
 
 #: Bands and rows: a pair of similarity 0.85 shares no bucket with probability (1 - 0.85**6)**26 < 5e-6.
 BANDS, ROWS = 26, 6
@@ -225,7 +225,7 @@ def _compare(members: DataFrame, sets: DataFrame, floor: list[int], percent: int
     )
     dealt = dealt.join(sets, "rep").select("bucket", "part", "rep", "label", "side", "sig", "shingles")
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(_links(floor, percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(tidy(_links(floor, percent)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     """
     assert 80 <= percent <= 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = cut(docs.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
+    told = cut(docs.mapInArrow(tidy(_describe), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
     some = told.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
     classes = cut(classes, "classes")
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     buckets = buckets.where("n > 1").groupBy("n", "least", "most", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = cut(banded.join(cut(buckets, "buckets"), "bucket"), "members")
     ends = cut(members.select("rep").distinct(), "ends")
-    sets = cut(_texts_of(docs, ends).mapInArrow(_sets, "rep long, shingles binary, sig binary").dropDuplicates(["rep"]), "sets")
+    sets = cut(_texts_of(docs, ends).mapInArrow(tidy(_sets), "rep long, shingles binary, sig binary").dropDuplicates(["rep"]), "sets")
     floor = least_matches(percent / 100, miss)
     links = cut(_compare(members.withColumn("label", F.col("rep")), sets, floor, percent, False), "links")
     roots = cut(components(links), "roots")

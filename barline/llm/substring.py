@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm import kernels
+from barline.llm.scratch import tidy
 
 #: Of 65536: how small the hash must be for a cut after white space (one in 6), and elsewhere (one in 256).
 AFTER_SPACE, ANYWHERE = 10923, 256
@@ -106,7 +107,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     a third of all documents share brings one row a batch to its task. kept_doc_id is null where it is not looked up.
     """
     rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(
-        _chunks, "doc_id long, start int, size int, one long, two long, sure boolean"
+        tidy(_chunks), "doc_id long, start int, size int, one long, two long, sure boolean"
     )
     # a sure row is alone under a key of its own
     keyed = rows.withColumn("own", F.when(F.col("sure"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0)))
@@ -160,5 +161,5 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     rest = [c for c in names if c != "text"]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["text string", "removed array<struct<start:int,stop:int>>"])
-    cut = joined.select(*rest, "text", "spans").mapInArrow(_without(least_run), schema)
+    cut = joined.select(*rest, "text", "spans").mapInArrow(tidy(_without(least_run)), schema)
     return cut.select(*names, "removed")
