@@ -58,12 +58,26 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return place
 
 
+def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """batch (doc_id, text), ordered by doc_id, without the rows that repeat a doc_id with the same text."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    again = ids[1:] == ids[:-1]
+    if not again.any():
+        return batch
+    keep, texts = np.ones(len(ids), bool), set()
+    for i in np.flatnonzero(np.append(again, False) | np.append(False, again)).tolist():
+        pair = (int(ids[i]), batch.column(1)[i].as_py())
+        keep[i] = pair not in texts
+        texts.add(pair)
+    return batch.filter(pa.array(keep))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, start, size, one, two, sure). sure: the chunk repeats an earlier one of the same batch."""
     for batch in batches:
         # null ids come last; the first of equal chunks in this order is the one that may stay
         order = np.argsort(batch.column(0).fill_null(2**63 - 1).to_numpy(zero_copy_only=False), kind="stable")
-        batch = batch.take(pa.array(order))
+        batch = _distinct(batch.take(pa.array(order)))
         ids = batch.column(0)
         buf, off = kernels.byte_view(batch.column(1))
         seen: set[bytes] = set()
@@ -112,7 +126,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # a sure row is alone under a key of its own
     keyed = rows.withColumn("own", F.when(F.col("sure"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0)))
     w = Window.partitionBy("one", "two", "own").orderBy("doc_id", "start")
-    told = keyed.withColumn("rank", F.row_number().over(w)).withColumn("kept_doc_id", F.first("doc_id").over(w))
+    # rank, not row_number: rows that repeat a doc_id share a place, and a chunk is no repeat of its own
+    told = keyed.withColumn("rank", F.rank().over(w)).withColumn("kept_doc_id", F.first("doc_id").over(w))
     return told.where("sure OR rank > 1").select("doc_id", "start", "size", F.expr("if(sure, NULL, kept_doc_id)").alias("kept_doc_id"))
 
 

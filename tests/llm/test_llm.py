@@ -237,6 +237,17 @@ def test_repeated_passages_go_and_the_first_stays(spark):
     assert substring.substring_dedup(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_keep_what_the_first_keeps(spark):
+    texts = {1: prose(1, 60), 2: prose(2, 60) + " " + prose(1, 60), 3: prose(3, 30) + " " + prose(4, 60) + " " + prose(4, 60)}
+    rows = [(i, t) for i, t in texts.items()]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    once = {r["doc_id"]: (r["text"], r["removed"]) for r in substring.substring_dedup(make(rows)).collect()}
+    assert once[1] == (texts[1], []) and len(once[2][0]) < 0.7 * len(texts[2]) and len(once[3][0]) < 0.8 * len(texts[3])
+    for docs in (make(rows + rows), make(rows).union(make(rows)), make(rows + rows[1:]).union(make(rows[:1]))):
+        got = substring.substring_dedup(docs).collect()
+        assert len(got) == docs.count() and all((r["text"], r["removed"]) == once[r["doc_id"]] for r in got)
+
+
 def test_cuts_move_with_the_text():
     text = prose(5, 400).encode()
     part = lambda t: (lambda b: {t[x:y] for x, y in zip(b, [*b[1:], len(t)])})(substring.cuts(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist())
