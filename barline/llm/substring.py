@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the last 16 bytes. A chunk ends after a white-space byte where the hash is small (one word in
-six), or before any character where it is very small. Whether a place is a cut depends on the bytes around it alone, so
+six), after a character of three or more bytes, as scripts without spaces have, where it is as small for its bytes (one in
+twelve), or before any character where it is very small. Whether a place is a cut depends on the bytes around it alone, so
 an insertion changes only the chunks that it touches. Equal chunks, by 128-bit digest, are found over all documents; the
 first by (doc_id, place) stays, and maximal runs of others that are long enough go.
 """
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from barline.llm import kernels
 from barline.llm.scratch import tidy
 
-#: Of 65536: how small the hash must be for a cut after white space (one in 6), and elsewhere (one in 256).
-AFTER_SPACE, ANYWHERE = 10923, 256
+#: Of 65536: how small the hash must be for a cut after white space (one in 6), after a character of three or more bytes
+#: (one in 12: some 36 bytes, as with words), and elsewhere (one in 256).
+AFTER_SPACE, AFTER_WIDE, ANYWHERE = 10923, 5461, 256
 #: A chunk without a cut ends after so many bytes.
 LONGEST = 4096
 #: Runs of repeated chunks go from so many bytes on (about ten words).
@@ -41,7 +43,10 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     lead = np.ones(len(buf), bool)
     lead[:-1] = (buf[1:] & 0xC0) != 0x80
     small = rolled < AFTER_SPACE
-    place = np.flatnonzero(lead & small & (kernels.SPACE[buf] | (rolled < ANYWHERE))) + 1
+    heavy = np.zeros(len(buf), bool)  # where a character of three or more bytes ends: lead says that it is the last byte
+    heavy[2:] = buf[:-2] >= 0xE0
+    heavy[3:] |= buf[:-3] >= 0xF0
+    place = np.flatnonzero(lead & small & (kernels.SPACE[buf] | (heavy & (rolled < AFTER_WIDE)) | (rolled < ANYWHERE))) + 1
     # a row's first 15 hashes also hold bytes of the row before: no cuts there
     row = np.searchsorted(off, place - 1, "right") - 1
     place = place[place - 1 - off[row] >= 15]

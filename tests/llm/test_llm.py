@@ -65,6 +65,7 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     base = prose(1, 150).split()
@@ -248,6 +249,17 @@ def test_repeated_rows_keep_what_the_first_keeps(spark):
         assert len(got) == docs.count() and all((r["text"], r["removed"]) == once[r["doc_id"]] for r in got)
 
 
+def test_repeated_passages_without_spaces_go(spark):
+    rng = random.Random(7)
+    write = lambda first, n: "".join(chr(first + rng.randrange(60)) for _ in range(n))
+    for first in (0x4E00, 0x3041, 0x0E01, 0x20000):  # Chinese, Japanese, Thai, and characters of four bytes
+        passages = [write(first, 100) for _ in range(20)]
+        texts = [write(first, 150) + passages[i % 20] + write(first, 150) for i in range(40)]
+        got = {r["doc_id"]: r["text"] for r in substring.substring_dedup(table(spark, texts)).collect()}
+        assert all(got[i] == texts[i] for i in range(20))
+        assert sum(len(got[i]) <= 400 - 30 for i in range(20, 40)) >= 18
+
+
 def test_cuts_move_with_the_text():
     text = prose(5, 400).encode()
     part = lambda t: (lambda b: {t[x:y] for x, y in zip(b, [*b[1:], len(t)])})(substring.cuts(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist())
