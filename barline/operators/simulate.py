@@ -87,21 +87,37 @@ def triple_barrier(bars: DataFrame, up: float = 0.05, down: float = 0.04, hold:
     return bars.groupBy("symbol").applyInPandas(run, "symbol string, open_ms long, outcome string, exit_price double")
 
 
-def monte_carlo(spark, returns: list[float], paths: int = 1000, trades: int = 250, share: float = 0.12, start: float = 10_000.0, ruin: float = 0.5, seed: int = 42) -> DataFrame:
-    """(path, final, drawdown, ruined) of resampled trade returns; returns is a bounded list, each path has a seed of its own."""
-    pool = np.array(returns or [0.0])
+def monte_carlo(returns: DataFrame, order: list[str], paths: int = 1000, trades: int = 250, share: float = 0.12, start: float = 10_000.0, ruin: float = 0.4, seed: int = 42) -> DataFrame:
+    """(path, final, drawdown, ruined) of trade returns drawn with replacement from all rows of returns (r double, order);
+    each path has a seed of its own. Ruined: a drawdown of `ruin` or more, or a balance of at most 1 - ruin of the start.
 
-    def run(batches):
+    `order` tells rows apart; its first column parts them for numbering. Drawn numbers meet the numbered rows in a join, so
+    no task holds the pool; a path is one group of `trades` rows. Without returns each draw is 0.
+    """
+    from pyspark.sql import Window
+
+    spark = returns.sparkSession
+    first = order[0]
+    sizes = returns.groupBy(first).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = returns.withColumn("k", F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1)
+    numbered = numbered.join(sizes.select(first, before.alias("before")), first).select((F.col("before") + F.col("k")).alias("number"), "r")
+    size = returns.count()
+
+    def draw(batches):
         for pdf in batches:
-            out = []
             for k in pdf["id"]:
-                draw = np.random.default_rng([seed, int(k)]).choice(pool, trades)
-                equity = start * np.concatenate([[1.0], np.cumprod(1 + share * draw)])
-                fall = 1 - equity / np.maximum.accumulate(equity)
-                out.append((int(k), float(equity[-1]), float(fall.max()), bool((equity <= start * ruin).any())))
-            yield pd.DataFrame(out, columns=["path", "final", "drawdown", "ruined"])
+                number = np.random.default_rng([seed, int(k)]).integers(0, max(size, 1), trades)
+                yield pd.DataFrame({"path": int(k), "step": np.arange(trades), "number": number})
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        equity = start * np.concatenate([[1.0], np.cumprod(1 + share * b.sort_values("step")["r"].to_numpy(float))])
+        fall = 1 - equity / np.maximum.accumulate(equity)
+        ruined = bool(((fall >= ruin) | (equity <= start * (1 - ruin))).any())
+        return pd.DataFrame([(key[0], float(equity[-1]), float(fall.max()), ruined)], columns=["path", "final", "drawdown", "ruined"])
 
-    return spark.range(paths).mapInPandas(run, "path long, final double, drawdown double, ruined boolean")
+    drawn = spark.range(paths).mapInPandas(draw, "path long, step long, number long").join(numbered, "number", "left")
+    return drawn.select("path", "step", F.coalesce("r", F.lit(0.0)).alias("r")).groupBy("path").applyInPandas(run, "path long, final double, drawdown double, ruined boolean")
 
 
 def portfolio(scores: DataFrame, top: int = 2, keep: int = 3, every: int = 5, cash: float = 100_000.0, lot: int = 1, fee: float = 0.0015) -> DataFrame:

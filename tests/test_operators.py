@@ -1,12 +1,15 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barline.functions import text
 from barline.operators import events, joins, patterns, simulate, stats
 from barline.operators import indicators as I
+from barline.plans import sequential
+from barline.sources.tables import daily_prices
 
 HOUR = 3_600_000
 SCHEMA = "symbol string, open_ms long, open double, high double, low double, close double, volume long, quote double"
@@ -142,3 +145,22 @@ def test_amounts_and_folding(spark):
     x = spark.createDataFrame([("1.234.567",), ("(1,200)",), ("12,34",), ("-5",), (None,)], "s string")
     assert [r[0] if r[0] is None else int(r[0]) for r in x.select(text.amount(F.col("s"))).collect()] == [1234567, -1200, None, -5, None]
     assert spark.createDataFrame([("  Đà  Nẵng é",)], "s string").select(text.folded(F.col("s"))).first()[0].startswith("DA N")
+
+
+def test_paths_draw_from_all_returns(spark):
+    rows = [(s, k, 0.001 * (1 + k + 1500 * (s == "b"))) for s in "ab" for k in range(1500)]
+    returns = spark.createDataFrame(rows, "symbol string, day int, r double").repartition(3)
+    got = simulate.monte_carlo(returns, ["symbol", "day"], paths=200, trades=1, share=1.0, start=1.0).collect()
+    want = {k: 1 + 0.001 * (1 + int(np.random.default_rng([42, k]).integers(0, 3000, 1)[0])) for k in range(200)}
+    assert {r["path"]: round(r["final"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    fall = spark.createDataFrame([("a", 0, -0.41)], "symbol string, day int, r double")
+    assert [r["ruined"] for r in simulate.monte_carlo(fall, ["symbol", "day"], paths=1, trades=1, share=1.0).collect()] == [True]
+    assert [r["final"] for r in simulate.monte_carlo(fall.where("false"), ["symbol", "day"], paths=1).collect()] == [10_000.0]
+
+
+def test_the_pool_is_every_symbols_returns(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(sequential.simulate, "monte_carlo", lambda returns, order: told.append(returns))
+    sequential.QUERIES["monte_carlo_ruin"](spark, "/root/testdata/sf0.01")
+    days = daily_prices(spark, "/root/testdata/sf0.01").groupBy("symbol").count().collect()
+    assert len(days) == 5 and told[0].count() == sum(r["count"] - 1 for r in days)
