@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from barline.functions import text
 from barline.operators import events, joins, patterns, simulate, stats
 from barline.operators import indicators as I
-from barline.plans import sequential
+from barline.plans import relational, sequential
 from barline.sources.tables import daily_prices
 
 HOUR = 3_600_000
@@ -164,3 +165,16 @@ def test_the_pool_is_every_symbols_returns(spark, monkeypatch):
     sequential.QUERIES["monte_carlo_ruin"](spark, "/root/testdata/sf0.01")
     days = daily_prices(spark, "/root/testdata/sf0.01").groupBy("symbol").count().collect()
     assert len(days) == 5 and told[0].count() == sum(r["count"] - 1 for r in days)
+
+
+
+def test_queries_of_repeated_ids_all_count(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 4)], 0) for i in [*range(5), *range(5), *range(5, 12)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(relational.ORACLE_SQL["cosine_topk"]).fetchall()
+    got = relational.QUERIES["cosine_topk"](spark, str(tmp_path)).collect()
+    plain = lambda rows: sorted((int(a), int(b), round(float(s), 4)) for a, b, s in rows)
+    assert plain(got) == plain(want)
