@@ -4,6 +4,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions import text
@@ -167,6 +168,19 @@ def test_the_pool_is_every_symbols_returns(spark, monkeypatch):
     assert len(days) == 5 and told[0].count() == sum(r["count"] - 1 for r in days)
 
 
+def test_streams_count_every_event_whatever_the_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    n = events.count()
+    for k, part in enumerate(events.withColumn("p", F.ntile(4).over(Window.orderBy(F.desc("ts")))).where(f"p = {p}").drop("p") for p in (1, 2, 3, 4)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: sequential.QUERIES[name](spark, str(tmp_path))
+    bars = run("stream_tumbling_watermark")
+    assert bars.agg(F.sum("n")).first()[0] == n and bars.where("year(start) > 8000").count() == 0
+    assert run("stream_sessions").agg(F.sum("n")).first()[0] == events.select("event_id").distinct().count()
+    d, q = events.where("event_id % 10 = 0").alias("d"), events.where("event_id % 10 <> 0").alias("q")
+    met = d.join(q, F.expr("d.event_type = q.event_type AND q.ts > d.ts AND q.ts <= d.ts + INTERVAL 15 minutes"))
+    assert run("stream_interval_fills").count() == met.count()
+
 
 def test_queries_of_repeated_ids_all_count(spark, tmp_path):
     rng = np.random.default_rng(8)
