@@ -25,8 +25,10 @@ from barline.llm import kernels
 from barline.llm.components import components
 from barline.llm.scratch import cut, tidy
 
-#: Bands and rows: a pair of similarity 0.85 shares no bucket with probability (1 - 0.85**6)**26 < 5e-6.
+#: Bands and rows: a pair of similarity 0.85 shares no bucket with probability (1 - 0.85**6)**26 < 5e-6; below it, one of
+#: similarity 0.8 with (1 - 0.8**5)**31 < 5e-6.
 BANDS, ROWS = 26, 6
+LOW_BANDS, LOW_ROWS = 31, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time.
 BATCH = 26
@@ -64,11 +66,12 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _bands(sig: np.ndarray) -> np.ndarray:
+def _bands(sig: np.ndarray, percent: int) -> np.ndarray:
     """A hash of each band of each signature."""
-    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
-    for k in range(ROWS):
+    bands, each = (BANDS, ROWS) if percent >= 85 else (LOW_BANDS, LOW_ROWS)
+    rows = sig[:, : bands * each].reshape(len(sig), bands, each).astype(np.uint64)
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), rows.shape[:2]).copy()
+    for k in range(each):
         out = kernels.splitmix(out ^ rows[:, :, k])
     return out.view(np.int64)
 
@@ -83,19 +86,22 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np
             yield batch.column(0).slice(a, b - a), sets, full, signatures([sets[i] for i in full]) if full else np.zeros((0, HASHES), np.uint32)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets, full, sig in _each(batches):
-        bands: list[np.ndarray | None] = [None] * len(sets)
-        for i, row in zip(full, _bands(sig), strict=True):
-            bands[i] = row
-        yield pa.record_batch(
-            {
-                "doc_id": ids,
-                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                "bands": pa.array(bands, pa.list_(pa.int64())),
-            }
-        )
+def _describe(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets, full, sig in _each(batches):
+            bands: list[np.ndarray | None] = [None] * len(sets)
+            for i, row in zip(full, _bands(sig, percent), strict=True):
+                bands[i] = row
+            yield pa.record_batch(
+                {
+                    "doc_id": ids,
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    "bands": pa.array(bands, pa.list_(pa.int64())),
+                }
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     """
     assert 80 <= percent <= 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = cut(docs.mapInArrow(tidy(_describe), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
+    told = cut(docs.mapInArrow(tidy(_describe(percent)), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
     some = told.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
     classes = cut(classes, "classes")

@@ -65,6 +65,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_pipeline_links_from_four_fifths_up(spark):
+    import corpus_pipeline
+
+    texts = []
+    for s in range(40):  # 196 shingles; two words changed far apart: 10 shingles gone of each, 186 of 206 alike; four: 176 of 216
+        w = prose(500 + s, 200).split()
+        texts += [" ".join(w), " ".join(f"new{i}" if i in (30, 80, 130, 180)[: 4 if s % 2 else 2] else x for i, x in enumerate(w))]
+    _, up = plain_components(texts, 80)
+    _, strict = plain_components(texts, 85)
+    want = [i for i in range(80) if up[i] == i]
+    assert len(want) == 40 < sum(strict[i] == i for i in range(80))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()) == want
+
 
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
