@@ -14,7 +14,7 @@ import gc
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 
 from barline.llm.scratch import tidy
 
-#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is renewed or full: about 250 MB
+#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is thinned out or full: about 150 MB
 #: together, held by a task until it ends. More transitions only take more memory: rare ones are as fast worked out anew.
-UNITS, PIECES, PAIRS, MOVES = 300_000, 200_000, 200_000, 60_000
+UNITS, PIECES, PAIRS, MOVES = 200_000, 150_000, 150_000, 40_000
 #: Characters of texts that are encoded together.
 RUN = 1 << 21
 #: Above every rank.
@@ -210,51 +210,119 @@ class Transducer:
         return result
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + count], one after the other."""
+    return flat[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+
+
+class Memory:
+    """The ids of texts that were met, in arrays; a number stands for each text until the next call of numbers()."""
+
+    def __init__(self, limit: int, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """encode: distinct texts to their ids, one after the other, and how many each has."""
+        self.limit, self.encode = limit, encode
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.start, self.count, self.again = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Keeps what was met more than once since the last time, at most half of the limit."""
+        stay = np.flatnonzero(self.again)[: self.limit // 2]
+        number = np.full(len(self.again), -1)
+        number[stay] = np.arange(len(stay))
+        kept = number.tolist()
+        self.at = {text: kept[k] for text, k in self.at.items() if kept[k] >= 0}
+        self.flat = gathered(self.flat, self.start[stay], self.count[stay])
+        self.count = self.count[stay]
+        self.start, self.again = np.cumsum(self.count) - self.count, np.zeros(len(stay), bool)
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        """The numbers of distinct texts."""
+        if len(self.at) > self.limit:
+            self._thin()
+        get = self.at.get
+        found = np.array([get(t, -1) for t in texts], np.int64)
+        self.again[found[found >= 0]] = True
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [texts[i] for i in missing.tolist()]
+            ids, count = self.encode(new)
+            first = len(self.count)
+            found[missing] = np.arange(first, first + len(new))
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            self.start = np.append(self.start, len(self.flat) + np.cumsum(count) - count)
+            self.flat, self.count = np.append(self.flat, ids.astype(np.uint32, copy=False)), np.append(self.count, count)
+            self.again = np.append(self.again, np.zeros(len(new), bool))
+        return found
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of these numbers, one after the other, and how many each has."""
+        count = self.count[numbers]
+        return gathered(self.flat, self.start[numbers], count), count
+
+
+class Pieces:
+    """Texts to ids by way of a memory of the pieces that a pattern cuts them into."""
+
+    def __init__(self, split: regex.Pattern, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = PIECES):
+        self.split, self.memory = split, Memory(limit, encode)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        find, place, sequence, many = self.split.findall, {}, [], []
+        for text in texts:
+            pieces = find(text)
+            sequence += [place.setdefault(p, len(place)) for p in pieces]
+            many.append(len(pieces))
+        numbers = self.memory.numbers(list(place))
+        ids, count = self.memory.ids(numbers[np.array(sequence, np.int64)])
+        upto = np.append(0, np.cumsum(count))
+        ends = upto[np.cumsum(np.array(many, np.int64))]
+        return ids, np.diff(ends, prepend=0)
+
+
 #: A run of white space around a single space; only there may a piece cross a cut before " x".
 _CROSSES = re.compile(r"\s \s|\s \Z")
 
 
 class Units:
-    """Texts to packed ids by way of a memory of text units.
+    """Texts to ids by way of a memory of text units.
 
     A unit is a space and what follows it up to the next space. As each alternative of the pattern takes a space only at
     its start or inside a run of white space, texts without such runs fall into units that are encoded apart.
     """
 
-    def __init__(self, encode_many, whole: re.Pattern = _CROSSES):
-        #: what was met lately, and before that: what is met again stays
-        self.encode_many, self.whole, self.memory, self.older = encode_many, whole, {}, {}
-
-    def _recall(self, units: list[str]) -> list[bytes]:
-        """The packed ids of distinct units, each after a space."""
-        if len(self.memory) > UNITS:
-            self.older, self.memory = self.memory, {}
-        memory, older, new = self.memory, self.older, []
-        for u in units:
-            if u not in memory:
-                if u in older:
-                    memory[u] = older[u]
-                else:
-                    new.append(u)
-        for k in range(0, len(new), 1 << 16):
-            part = new[k : k + (1 << 16)]
-            memory.update(zip(part, self.encode_many([" " + u for u in part]), strict=True))
-        return [memory[u] for u in units]
-
-    def pack(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; each distinct unit of them is looked up once."""
-        halves = [(t, "", "") if self.whole.search(t) else t.partition(" ") for t in texts]
-        packed = self.encode_many([first for first, _, _ in halves])
-        more = [k for k, (_, space, _) in enumerate(halves) if space]
-        if more:
-            split = pc.split_pattern(pa.array([halves[k][2] for k in more], pa.large_string()), " ")
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray] | None = None, special: tuple[str, ...] = (), limit: int = UNITS):
+        """special: strings, and whole the way to encode a text that holds one."""
+        self.encode, self.whole, self.special = encode, whole, special
+        self.memory = Memory(limit, lambda units: encode([" " + u for u in units]))
+
+    def pack(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; each distinct unit of them is looked up once."""
+        result: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        firsts: list[tuple[int, str]] = []
+        rests: list[tuple[int, str]] = []
+        for k, t in enumerate(texts):
+            if self.special and any(x in t for x in self.special):
+                result[k] = self.whole(t)
+                continue
+            first, space, rest = (t, "", "") if _CROSSES.search(t) else t.partition(" ")
+            if first:
+                firsts.append((k, first))
+            if space:
+                rests.append((k, rest))
+        ids, count = self.encode([t for _, t in firsts])
+        at = np.append(0, np.cumsum(count)).tolist()
+        for (k, _), x, y in zip(firsts, at[:-1], at[1:], strict=True):
+            result[k] = ids[x:y]
+        if rests:
+            split = pc.split_pattern(pa.array([t for _, t in rests], pa.large_string()), " ")
             coded = split.flatten().dictionary_encode()
-            told = pa.array(self._recall(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-            data, ends = told.buffers()[2], np.frombuffer(told.buffers()[1], np.int64)
-            at = ends[split.offsets.to_numpy()].tolist()
-            for k, x, y in zip(more, at[:-1], at[1:], strict=True):
-                packed[k] += data[x:y].to_pybytes()
-        return packed
+            numbers = self.memory.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ids, count = self.memory.ids(numbers[coded.indices.to_numpy()])
+            at = np.append(0, np.cumsum(count))[split.offsets.to_numpy()].tolist()
+            for (k, _), x, y in zip(rests, at[:-1], at[1:], strict=True):
+                result[k] = np.concatenate([result[k], ids[x:y]]) if len(result[k]) else ids[x:y]
+        return result
 
 
 def runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -333,30 +401,21 @@ class Decoder:
 
 
 def encoder(machine: Transducer, pattern: str) -> Units:
-    """Texts to packed ids by the machine's ranks, each match of the pattern separately."""
-    split = regex.compile(pattern)
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
-
-    def many(texts: Iterable[str]) -> list[bytes]:
-        nonlocal known, older
-        if len(known) > PIECES:
-            known, older = {}, known
-        parts = [split.findall(text) for text in texts]
-        new: dict[bytes, str] = {}
-        for pieces in parts:
-            for piece in pieces:
-                if piece not in known:
-                    if piece in older:
-                        known[piece] = older[piece]
-                    else:
-                        new[piece.encode()] = piece
-        order = sorted(new)
-        for raw, ids in zip(order, machine.encode_sorted(order), strict=True):
-            known[new[raw]] = array("I", ids).tobytes()
-        return [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in parts]
-
-    return Units(many)
+    """Texts to ids by the machine's ranks, each match of the pattern separately."""
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [p.encode() for p in pieces]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        flat, count = array("I"), np.zeros(len(raw), np.int64)
+        start = np.zeros(len(raw), np.int64)
+        for k in range(0, len(order), 1 << 14):
+            part = order[k : k + (1 << 14)]
+            for i, ids in zip(part, machine.encode_sorted([raw[j] for j in part]), strict=True):
+                start[i], count[i] = len(flat), len(ids)
+                flat.extend(ids)
+        return gathered(np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), start, count), count
+
+    return Units(Pieces(regex.compile(pattern), encode))
 
 
 _made: dict[str, tuple[Transducer, Decoder]] = {}
@@ -386,8 +445,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 for at, texts in runs(batch.column(1)):
                     part = batch.slice(at, len(texts))
                     rows: list[tuple] = []
-                    for packed in units.pack(texts):
-                        ids = np.frombuffer(packed, "<u4")
+                    for ids in units.pack(texts):
+                        packed = ids.astype("<u4", copy=False).tobytes()
                         told, said = hashlib.sha256(), []
                         for data, string in decoder.stream(ids):
                             told.update(data)

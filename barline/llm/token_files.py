@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm import scratch
-from barline.llm.bpe import Units, runs
+from barline.llm.bpe import Pieces, Units, gathered, runs
 
 MAGIC = b"BPFR0001"
 #: Ids in a block: a multiple of 64, so that blocks are whole 64-bit words.
 BLOCK = 256
 #: Share of a block's differences that its width holds.
 WIDE = 0.9
-#: The pieces of byte-level vocabularies, which the library encodes each by itself, and how many are remembered.
+#: The pieces of byte-level vocabularies, which the library encodes each by itself, and how many of them and of text units are remembered.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 400_000
 #: A file is closed once it holds so many ids.
@@ -147,30 +147,35 @@ def _units(path: str) -> Units:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        whole = regex.compile(r" \p{L}+")
 
-        split, whole = regex.compile(PIECES), regex.compile(r" \p{L}+")
-        known: dict[str, bytes] = {}
-
-        def many(texts: list[str]) -> list[bytes]:
-            parts = [split.findall(t) for t in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({p for ps in parts for p in ps if p not in known})
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # a space and letters is one piece wherever it stands, so many go as one text, and each is a word of the result
-            plain = [p for p in new if p[0] == " " and p[1:].isalpha() and whole.fullmatch(p)]
+            letters = [p[0] == " " and p[1:].isalpha() and (p.isascii() or whole.fullmatch(p) is not None) for p in pieces]
+            plain = [p for p, x in zip(pieces, letters, strict=True) if x]
+            rest = [p for p, x in zip(pieces, letters, strict=True) if not x]
+            parts, counts = [], []
             for k in range(0, len(plain), 1024):
-                part = plain[k : k + 1024]
-                e = tokenizer.encode("".join(part), add_special_tokens=False)
-                ids = np.array(e.ids, "<u4")
-                ends = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), append=-1)) + 1
-                for piece, x, y in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    known[piece] = ids[x:y].tobytes()
-            rest = [p for p in new if p not in known]
-            known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-            return [b"".join(map(known.__getitem__, ps)) for ps in parts]
-
-        _made[path] = Units(many)
+                e = tokenizer.encode("".join(plain[k : k + 1024]), add_special_tokens=False)
+                parts.append(np.array(e.ids, np.uint32))
+                counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(plain[k : k + 1024])))
+            for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+                parts.append(np.array(e.ids, np.uint32))
+                counts.append(np.array([len(parts[-1])]))
+            if not parts:
+                return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            flat, count = np.concatenate(parts), np.concatenate(counts)
+            place = np.empty(len(pieces), np.int64)  # where each piece stands in plain + rest
+            told = np.array(letters, bool)
+            place[told], place[~told] = np.arange(len(plain)), np.arange(len(plain), len(pieces))
+            start = np.cumsum(count) - count
+            return gathered(flat, start[place], count[place]), count[place]
+
+        def as_it_is(text: str) -> np.ndarray:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _made[path] = Units(Pieces(regex.compile(PIECES), encode, REMEMBERED), as_it_is, special, REMEMBERED)
     return _made[path]
 
 
@@ -202,7 +207,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, file_ids:
             for at, texts in runs(batch.column(1)):
                 for name, packed in zip(batch.column(0).slice(at, len(texts)), units.pack(texts), strict=True):
                     names.append(name.as_py())
-                    held.append(np.concatenate([np.frombuffer(packed, "<u4"), end]))
+                    held.append(np.concatenate([packed, end]))
                     size += len(held[-1])
                     if size >= file_ids:
                         yield close()
