@@ -1,22 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped and every block element begins a line. The text lengths of a sliding window of lines are summed; from
-the peak the text reaches back to the surge and on to the dive of that sum. The region is then rounded out to the element
-that holds it (an article, if there is one), so that short first and last paragraphs stay. Elements that by their kind,
-class, id or role are menus, headers, footers, side bars, notices, adverts, forms or comments give no lines.
+Markup is stripped and every block element begins a line. Each line has a weight: its text without links, lowered where
+tags, classes, ids or roles say menu, header, footer, side bar, notice, advert, form or comment. The weights of a sliding
+window of lines are summed; where the sum rises to LEVEL the text surges, where it falls below it dives, and what lies
+between is the text. That is done twice: the element that holds the first regions (an article, if there is one) raises the
+weight of its lines, so that short ones at its edges stay, and lowers that of all others; the second regions are the result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the sum of lengths under which the text dives.
+#: Lines in a window, and the sum of weights at which the text surges and below which it dives.
 SPAN, LEVEL = 3, 40
+#: What a line inside the element that holds the text gains, the share of a line's weight outside of it, the share where a
+#: mark says that it is no text, and the share of the heaviest region that another must weigh.
+GAIN, OUTSIDE, MARKED, REGION = 40, 0.1, 0.02, 0.3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?)(?:</(?P=raw)\s*>|\Z)"
@@ -30,144 +35,193 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _BLOCK_IN_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SKIP = frozenset("head nav footer aside form button menu dialog audio video canvas".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that mark what is not the article, and words that say nothing beside them.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar side aside footer foot header masthead topbar notice notices "
     "cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus "
     "respond reply replies breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer search complementary contentinfo form".split()
 )
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons card col column container content group icons inner item items left link links list main middle module page panel post posts primary "
+    "right row secondary section site slot stories text thread title top unit wrap wrapper".split()
+)
 _NOT_MARKS = ("has-", "with-", "no-", "is-", "has_", "with_", "no_")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 
 def _marked(name: str, attr: str, in_main: bool) -> bool:
+    """Whether an element's kind, class, id or role marks it as no text; a word of several parts only if each of them is
+    a mark or plain, so that `side-effects` is none."""
     if name in _SKIP or name == "header" and not in_main:
         return True
     if not attr or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTR.findall(attr):
-        if key.lower() in ("class", "id", "role"):
+        key = key.lower()
+        if key in ("class", "id", "role"):
             for word in "".join(values).lower().split():
-                if word.startswith(_NOT_MARKS):
-                    continue
-                # an article goes only if the whole word says so
-                if word in _MARKS or name != "article" and any(part in _MARKS for part in re.split(r"[-_:]+", word)):
+                if word in _MARKS:
+                    return True
+                parts = set(re.split(r"[-_:]+", word))
+                if name != "article" and not word.startswith(_NOT_MARKS) and parts & _MARKS and parts <= _MARKS | _PLAIN:
                     return True
-        elif key.lower() == "aria-hidden" and "".join(values).lower() == "true":
+        elif key == "aria-hidden" and "".join(values).lower() == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attr, re.I)) and name not in ("article",)
+    return name != "article" and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _QUOTED.sub("", attr), re.I))
 
 
 class Page:
-    """lines: (text, length without links, path) of each block in page order; path: the numbers of its open elements."""
+    """lines: (text, length without links, element) of each block in page order. Elements are numbered in the order in
+    which they begin; 0 is the page. parent, last: an element's parent and the last element inside it; main: the innermost
+    article or main element round it, 0 if none; marked: whether it or one round it is marked. Time and memory are linear."""
 
     def __init__(self, html: str):
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.main: set[int] = set()
-        stack: list[tuple[str, int]] = []
+        self.lines: list[tuple[str, int, int]] = []
+        self.parent, self.last, self.main, self.marked = [0], [0], [0], [False]
+        names: list[str] = [""]
+        stack: list[int] = [0]
+        open_: Counter[str] = Counter()
         said: list[str] = []
-        linked = number = skip = 0
+        linked = at = 0
         in_link = False
-        skipped = ""
-        at = 0
-        closing = {}
+        lower = html.lower()
+        closing: dict[str, int] = {}
 
         def line() -> None:
             nonlocal linked
             text = " ".join("".join(said).split())
-            self.lines.append((text, max(0, len(text) - linked), tuple(n for _, n in stack)))
+            if text:
+                self.lines.append((text, max(0, len(text) - linked), stack[-1]))
             said.clear()
             linked = 0
 
         def hear(raw: str) -> None:
             nonlocal linked
-            if raw and not skip:
+            if raw:
                 text = entities.unescape(raw)
                 said.append(text)
                 if in_link:
                     linked += len(text.strip())
 
+        def close(name: str) -> None:
+            """Ends elements up to the innermost of this name, which is open."""
+            while True:
+                n = stack.pop()
+                self.last[n] = len(self.parent) - 1
+                open_[names[n]] -= 1
+                if names[n] == name:
+                    return
+
         for m in _TOKEN.finditer(html):
             hear(html[at : m.start()])
             at = m.end()
             name = (m["name"] or m["name2"] or "").lower()
             if not name:
-                if m["raw"] and not skip:
+                if m["raw"]:
                     said.append(" ")
                 continue
             ends, attr = bool(m["end"] or m["end2"]), m["attr"] or m["attr2"] or ""
-            if skip:
-                if name == skipped and name not in _VOID:
-                    skip += -1 if ends else 1
-                continue
-            if name not in _INLINE:
-                line()
-            elif name == "br":
+            if name == "br":
                 said.append(" ")
             if ends:
                 if name == "a":
                     in_link = False
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if name not in _INLINE or open_[name]:
+                    line()
+                if open_[name]:
+                    close(name)
                 continue
-            if name in _VOID or attr.endswith("/") and name in _INLINE:
-                continue
-            if _marked(name, attr, any(n in self.main for _, n in stack)):
-                # one that is never closed hides nothing
+            inline = name in _INLINE
+            mark = _marked(name, attr, bool(self.main[stack[-1]]))
+            if mark:  # one that is never closed marks nothing
                 if name not in closing:
-                    closing[name] = html.lower().rfind(f"</{name}")
-                if closing[name] > at:
-                    skip, skipped = 1, name
-                    continue
-            if name in _INLINE:
-                in_link = in_link or name == "a"
+                    closing[name] = lower.rfind(f"</{name}")
+                mark = closing[name] >= at
+            if name == "a":
+                in_link = True
+            if not inline or mark:
+                line()
+            if name in _VOID or inline and (not mark or attr.endswith("/")):
                 continue
-            if name in _BLOCK_IN_P and any(x == "p" for x, _ in stack):
-                k = max(i for i, (x, _) in enumerate(stack) if x == "p")
-                del stack[k:]
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            number += 1
-            stack.append((name, number))
-            if name in _MAIN:
-                self.main.add(number)
+            if name in _BLOCK_IN_P and open_["p"]:
+                close("p")
+            elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and names[stack[-1]] == name:
+                close(name)
+            number, top = len(self.parent), stack[-1]
+            self.parent.append(top)
+            self.last.append(number)
+            self.main.append(number if name in _MAIN and not mark else self.main[top])
+            self.marked.append(mark or self.marked[top])
+            names.append(name)
+            open_[name] += 1
+            stack.append(number)
         hear(html[at:])
         line()
+        for n in stack:
+            self.last[n] = len(self.parent) - 1
+
+
+def regions(weight: list[float], level: float) -> list[tuple[int, int]]:
+    """(surge, dive) of each run of windows of SPAN lines whose weights sum to level: first and last line of it, of which
+    either bears its part of a window."""
+    sums = [sum(weight[i : i + SPAN]) for i in range(len(weight))]
+    out, i = [], 0
+    while i < len(sums):
+        if sums[i] < level:
+            i += 1
+            continue
+        surge = i
+        while i < len(sums) and sums[i] >= level:
+            i += 1
+        dive = min(i - 1 + SPAN - 1, len(weight) - 1)
+        while surge < dive and weight[surge] * SPAN < level:
+            surge += 1
+        while dive > surge and weight[dive] * SPAN < level:
+            dive -= 1
+        if out and surge <= out[-1][1]:
+            surge = out.pop()[0]
+        out.append((surge, dive))
+    return out
+
+
+def _heavy(weight: list[float]) -> list[tuple[int, int]]:
+    """The regions that weigh a share of the heaviest; of a page without so much text, those of its own greatest sum."""
+    peak = max((sum(weight[i : i + SPAN]) for i in range(len(weight))), default=0)
+    found = [(sum(weight[a : b + 1]), a, b) for a, b in regions(weight, min(LEVEL, peak))] if peak > 0 else []
+    most = max((w for w, _, _ in found), default=0)
+    return [(a, b) for w, a, b in found if w >= REGION * most]
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the article, white space made single, joined by two line feeds; '' if there are none."""
     page = Page(html or "")
-    lines = page.lines
+    lines, marked = page.lines, page.marked
+    if all(marked[n] for _, _, n in lines):  # all there is
+        marked = [False] * len(marked)
     size = [n for _, n, _ in lines]
-    if not any(text for text, _, _ in lines):
-        return ""
-    if not any(size):  # links only: they are all there is
+    if not any(n for n, (_, _, e) in zip(size, lines, strict=True) if not marked[e]):  # links only: they are all there is
         size = [len(text) for text, _, _ in lines]
-    window = [sum(size[i : i + SPAN]) for i in range(len(size))]
-    peak = max(range(len(size)), key=lambda i: (window[i], -i))
-    surge = dive = peak
-    while surge and window[surge - 1] >= LEVEL:
-        surge -= 1
-    while dive + 1 < len(size) and window[dive + 1] >= LEVEL:
-        dive += 1
-    while dive > surge and not lines[dive][0]:
-        dive -= 1
-    holder = max(range(surge, dive + 1), key=lambda i: (size[i], -i))
-    mains = [n for n in lines[holder][2] if n in page.main]
-    if mains:
-        inner = mains[-1]
-        kept = [text for text, _, path in lines if text and inner in path]
-    else:
-        shared = None
-        for text, _, path in lines[surge : dive + 1]:
-            if text:
-                mine = path[:-1]
-                shared = mine if shared is None else tuple(a for a, b in zip(shared, mine, strict=False) if a == b)
-        last = shared[-1] if shared else None
-        kept = [text for text, _, path in lines if text and (last is None or last in path)]
-    return "\n\n".join(kept)
+    weight = [n * (MARKED if marked[e] else 1) for n, (_, _, e) in zip(size, lines, strict=True)]
+    found = _heavy(weight)
+    if not found:
+        return ""
+    # the element that holds the regions: the article of the heaviest lines, or else what is round all of them
+    held: Counter[int] = Counter()
+    for a, b in found:
+        for i in range(a, b + 1):
+            held[page.main[lines[i][2]]] += weight[i]
+    holder = max((m for m in held if m), key=lambda m: (held[m], -m), default=0)
+    if not holder:
+        inside = [page.parent[lines[i][2]] for a, b in found for i in range(a, b + 1) if not marked[lines[i][2]]] or [0]
+        low, high, holder = min(inside), max(inside), min(inside)
+        while holder and not (holder <= low and high <= page.last[holder]):
+            holder = page.parent[holder]
+    final = []
+    for w, (_, _, e) in zip(weight, lines, strict=True):
+        within = holder <= e <= page.last[holder]
+        final.append((w + (0 if marked[e] else GAIN)) if within else w * OUTSIDE)
+    least = min(GAIN, max(final))
+    return "\n\n".join(lines[i][0] for a, b in _heavy(final) for i in range(a, b + 1) if final[i] >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -175,7 +229,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text holds the blocks of the article (see main_text), n_chars its code points. Null, empty and text-free html gives
     an empty text; markup that is cut off or not closed hides nothing but itself; plain text without tags is one block.
-    Rows that repeat give equal rows, nulls in page_id and url stay, and no rows give no rows.
+    A page takes time and memory in proportion to its length, however deep its elements nest. Rows that repeat give equal
+    rows, nulls in page_id and url stay, and no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

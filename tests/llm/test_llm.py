@@ -288,6 +288,50 @@ def test_main_text():
     assert html_text.main_text("<nav>open <p>but all the text is here, long enough to be seen.") != ""
 
 
+def page_of(blocks, rng, kind):
+    """A page whose article has these blocks, with all that does not belong to it; kind: the element round the article."""
+    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    body = "".join(rng.choice(["<p>%s</p>", "<p>%s", "<h2>%s</h2>", "<ul><li>%s</li></ul>", "<blockquote>%s</blockquote>"]) % esc(b).replace(" ", rng.choice([" ", "  ", "\n"]), 1) for b in blocks)
+    body = f"{body[: len(body) // 2]}<!-- {prose(1, 30)} -->{body[len(body) // 2 :]}" if "<" not in body[len(body) // 2 - 8 : len(body) // 2 + 8] else body
+    first, last = {"article": ("<article>", "</article>"), "main": ("<main><div class='post-body'>", "</div></main>"), "div": ("<div id=wrapper><div class=story>", "</div></div>")}[kind]
+    links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in prose(2, 12).split())
+    return (
+        f"<!DOCTYPE html><html><head><title>{prose(3, 12)}</title><style>p{{}}</style><script>var a='</p>{prose(4, 40)}';</script></head><body class='has-sidebar'><nav><ul>{links}</ul></nav>"
+        f"<div class='cookie-banner'><p>{prose(5, 25)}</p></div><header><p>{prose(6, 8)}</p></header>{first}{body}{last}<aside><p>{prose(7, 30)}</p></aside><div class='ad-slot'>{prose(8, 30)}</div>"
+        f"<form><label>{prose(9, 10)}</label><textarea>{prose(9, 30)}</textarea></form><section id=comments><p>{prose(10, 90)}</p><p>{prose(11, 60)}</p></section><footer><p>{prose(12, 20)}</p></footer></body></html>"
+    )
+
+
+def test_pages_give_their_articles(spark):
+    rng, rows, want = random.Random(1), [], {}
+    for i in range(60):
+        blocks = ["Title & more", *[prose(100 + i * 20 + k, rng.choice([2, 15, 40, 60])) for k in range(rng.randrange(4, 9))], prose(i, 50), "Short end."]
+        rows.append((i, "u", page_of(blocks, rng, ("article", "main", "div")[i % 3]), 7, "x"))
+        want[i] = "\n\n".join(blocks)
+    rows += [(100, None, None, 7, "x"), (101, "u", "", 7, "x"), (102, "u", "words alone", 7, "x"), (None, "u", "<p>a &amp; b", 7, "x"), (103, "u", "<div>" * 50_000 + "deep", 7, "x"), (0, "u", rows[0][2], 7, "x")]
+    want |= {100: "", 101: "", 102: "words alone", None: "a & b", 103: "deep"}
+    make = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = html_text.extract(make(rows).repartition(3)).collect()
+    assert len(got) == len(rows) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+    assert html_text.extract(make([])).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["id='social-history'", "class='form-factor'", "class='side-effects'", "id='search-algorithms'", "title='a hidden gem'"])
+def test_words_that_only_look_like_marks(mark):
+    page = f"<nav>menu</nav><article><h1>Title</h1><p>Some words of text are here to be read.</p><p {mark}>These as well.</p><p hidden>not these</p></article>"
+    assert html_text.main_text(page) == "Title\n\nSome words of text are here to be read.\n\nThese as well."
+
+
+def test_text_is_what_lies_between_surge_and_dive(monkeypatch):
+    weights = [0, 5, 60, 80, 3, 50, 0, 0, 0, 2, 45, 90, 0]
+    assert html_text.regions(weights, 40) == [(2, 5), (10, 11)]  # windows of three lines; light lines at either end go
+    assert html_text.regions(weights, 140) == [(2, 3)] and html_text.regions(weights, 1000) == []
+    page = "<body>" + "".join(f"<p>{prose(k, n)}</p>" for k, n in enumerate((1, 30, 40, 30, 1)))
+    whole = html_text.main_text(page)
+    monkeypatch.setattr(html_text, "LEVEL", 10**6)
+    assert html_text.main_text(page) != whole
+
+
 def test_top_k_with_ties(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(v) for v in np.round(rng.normal(0, 0.02, 6), 2)], 1) for i in range(120)]
