@@ -26,7 +26,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repetition=4.0, share=1.0)
-    return mixed.select("doc_id", "source", "epoch", F.expr(mixing.TOKENS).cast("long").alias("n_tokens"))
+    return mixed.select("doc_id", "source", "epoch", F.expr(mixing.TOKENS).cast("long").alias("n_tokens"), "block", "place")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,22 +95,24 @@ halves(i, low, high) AS (
       pow(ns[1] / total, (low + high) / 2 - 1) / list_sum(list_transform(ns, lambda x: pow(x / total, (low + high) / 2))) > 4 AS up
     FROM halves, one WHERE i < 40)
 ), told AS (
-  SELECT source, n, CAST(ceil(n / 65536) AS BIGINT) AS blocks,
+  SELECT source, n, least(CAST(ceil(n / 65536) AS BIGINT), 262144) AS blocks,
     CAST(floor(round(pow(n / total, a) / list_sum(list_transform(ns, lambda x: pow(x / total, a))), 9) * total) AS BIGINT) AS budget
   FROM sizes, one, (SELECT round(high, 6) AS a FROM halves WHERE i = 40)
 ), plan AS (SELECT *, budget // n AS whole, budget % n AS rest FROM told),
-placed AS (SELECT d.*, p.whole, p.rest, CAST(('0x' || substr(k, 1, 7)) AS BIGINT) % p.blocks AS b FROM docs d LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT d.*, p.whole, p.rest, CAST(('0x' || substr(k, 1, 6)) AS BIGINT) % p.blocks AS b FROM docs d LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 sums AS (SELECT source, b, whole, rest, sum(t) AS t FROM placed WHERE whole IS NOT NULL GROUP BY ALL),
+epochs AS (SELECT *, CAST(unnest(range(0, CAST(whole AS BIGINT) + 1)) AS BIGINT) AS epoch FROM sums),
 runs AS (
-  SELECT *, coalesce(sum(t) OVER (PARTITION BY source ORDER BY md5('17:' || CAST(whole AS VARCHAR) || ':' || CAST(b AS VARCHAR)), b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums
-), rooms AS (SELECT source, b, CASE WHEN before + t <= rest THEN -1 ELSE greatest(0, rest - before) END AS room FROM runs),
+  SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS place, sum(t) OVER (w ROWS UNBOUNDED PRECEDING) - t AS before FROM epochs
+  WINDOW w AS (PARTITION BY source, epoch ORDER BY md5('17:' || CAST(epoch AS VARCHAR) || ':' || CAST(b AS VARCHAR)), b)
+), rooms AS (SELECT source, b, CASE WHEN before + t <= rest THEN -1 ELSE greatest(0, rest - before) END AS room FROM runs WHERE epoch = whole),
 summed AS (
   SELECT p.*, r.room, sum(p.t) OVER (PARTITION BY p.source, p.b ORDER BY md5(p.k || ':' || CAST(p.whole AS VARCHAR)), p.doc_id, p.t ROWS UNBOUNDED PRECEDING) AS upto
   FROM placed p LEFT JOIN rooms r ON p.source IS NOT DISTINCT FROM r.source AND p.b = r.b
 ), timed AS (
-  SELECT doc_id, source, t, CASE WHEN room IS NULL THEN 1 WHEN room < 0 THEN whole + 1 WHEN room > 0 AND upto <= room THEN whole + 1 ELSE whole END AS times FROM summed
-)
-SELECT doc_id, source, CAST(unnest(range(0, CAST(times AS BIGINT))) AS BIGINT) AS epoch, t AS n_tokens FROM timed
+  SELECT doc_id, source, t, b, CASE WHEN room IS NULL THEN 1 WHEN room < 0 THEN whole + 1 WHEN room > 0 AND upto <= room THEN whole + 1 ELSE whole END AS times FROM summed
+), each AS (SELECT doc_id, source, t, b, CAST(unnest(range(0, CAST(times AS BIGINT))) AS BIGINT) AS epoch FROM timed)
+SELECT x.doc_id, x.source, x.epoch, x.t AS n_tokens, r.b AS block, r.place FROM each x LEFT JOIN runs r ON x.source IS NOT DISTINCT FROM r.source AND x.b = r.b AND x.epoch = r.epoch
 """,
     "op8_topk": """
 WITH v AS (

@@ -41,7 +41,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at a temperature at which the rarest is read at most REPETITION times as often as the largest."""
-    return mixing.mix(docs, repetition=REPETITION).select(*docs.columns)
+    row = docs.select("doc_id", "source", F.expr(mixing.TOKENS).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return mixing.mix(row, repetition=REPETITION, tokens="n").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

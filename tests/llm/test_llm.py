@@ -183,8 +183,34 @@ def test_mixture_keeps_budgets(spark):
     assert sums[None] / size[None] <= 3.0 and sums[None] / size[None] > 2.5 and sums["big"] < size["big"]
     assert sum(r["source"] == "none" for r in got) == 2
     whole = mixing.mix(docs, repetition=2.0, block_tokens=200)
-    assert whole.select("doc_id").distinct().count() == 302 and whole.columns == [*docs.columns, "epoch"]
+    assert whole.select("doc_id").distinct().count() == 302 and whole.columns == [*docs.columns, "epoch", "block", "place"]
     assert mixing.mix(table(spark, [])).count() == 0
+    # each whole epoch of a source is a permutation of its blocks, and not the same one
+    turns = {}
+    for r in mixing.mix(docs, repetition=3.0, share=1.0, block_tokens=20).collect():
+        if r["place"] is not None:
+            turns.setdefault((r["source"], r["epoch"]), {})[r["place"]] = r["block"]
+    full = [t for (s, e), t in turns.items() if s is None and e < 2]
+    assert len(full) == 2 and full[0] != full[1] and len(full[0]) > 5 and sorted(full[0]) == sorted(full[1]) and sorted(full[0].values()) == sorted(full[1].values())
+
+
+def test_mixing_beside_any_names(spark):
+    docs = table(spark, [prose(i, 20) for i in range(60)] + ["x " * 300_000], None, ["a" if i % 3 else "b" for i in range(61)])
+    own = "s b of id n key row at blocks whole room rest turns times e place_ _tokens _block _key s0 part tokens".split()
+    wide = docs.select("*", *[F.lit(99).alias(c) for c in own])
+    got, plain = mixing.mix(wide, share=1.0, block_tokens=500), mixing.mix(docs, share=1.0, block_tokens=500)
+    assert got.columns == [*docs.columns, *own, "epoch", "block", "place"]
+    assert got.where(" AND ".join(f"{c} = 99" for c in own)).count() == got.count()
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "epoch", "block", "place").collect()))
+    assert key(got) == key(plain)
+    assert mixing.mix(docs.withColumn("place", F.lit(1)), share=1.0).columns == [*docs.columns, "epoch", "block", "place"]
+
+
+def test_many_sources_without_a_list(spark):
+    sizes = spark.range(3000).selectExpr("concat('h', id) AS source", "1 + id * id % 997 AS tokens")
+    w = mixing.weights(sizes, 4.0, None, 1.0).collect()
+    total = sum(r["tokens"] for r in w)
+    assert max(r["weight"] * total / r["tokens"] for r in w) == pytest.approx(4.0, abs=0.01) and sum(r["weight"] for r in w) == pytest.approx(1, abs=1e-4)
 
 
 def test_entropy_target(spark):
