@@ -28,7 +28,7 @@ from barline.llm.scratch import tidy
 #: together, held by a task until it ends. More transitions only take more memory: rare ones are as fast worked out anew.
 UNITS, PIECES, PAIRS, MOVES = 200_000, 150_000, 150_000, 40_000
 #: Characters of texts that are encoded together.
-RUN = 1 << 21
+RUN = 1 << 20
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -325,13 +325,13 @@ class Units:
         return result
 
 
-def runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(where it begins, texts) of runs of a column of texts, null as empty: as many as come to RUN characters, one at least."""
+def runs(column: pa.Array, most: int = RUN) -> Iterator[tuple[int, list[str]]]:
+    """(where it begins, texts) of runs of a column of texts, null as empty: as many as come to `most` characters, one at least."""
     at, held, size = 0, [], 0
     for k, text in enumerate(column):
         held.append(text.as_py() or "")
         size += len(held[-1])
-        if size >= RUN or k + 1 == len(column):
+        if size >= most or k + 1 == len(column):
             yield at, held
             at, held, size = k + 1, [], 0
 

@@ -11,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from barline.llm import kernels
 from barline.llm.scratch import tidy
 
 WINDOW, HIDDEN = 64, 8
-#: Training takes at most so many documents of each of the most frequent languages, and so many characters of each document.
-TRAIN_DOCS, TRAIN_LANGS, TRAIN_CHARS = 400, 64, 800
+#: Training takes at most so many documents of each language, and so many characters of each document.
+TRAIN_DOCS, TRAIN_CHARS = 400, 800
 STEPS, BATCH, RATE = 500, 128, 0.01
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -201,33 +202,30 @@ def predict(docs: DataFrame, p: dict[str, np.ndarray], langs: list[str]) -> Data
                 score = np.where(letter, prob.max(1, initial=0), 0.0)
                 yield pa.record_batch([*batch.slice(a, b - a).columns, pa.array(said), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["lang_pred string", "score double"])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(tidy(run), schema)
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[int], list[str]]:
-    """Texts, their languages' numbers and the languages' names: of each language the TRAIN_DOCS ids of least hash among
-    the rows whose crc32(doc_id as text) mod 5 is not 0, of each text TRAIN_CHARS characters from a place that its id sets."""
+    """Texts, their languages' numbers and the languages' names: of each language the TRAIN_DOCS rows of least hash of
+    their id among those whose crc32(doc_id as text) mod 5 is not 0, of each text TRAIN_CHARS characters from a place that
+    its id sets. One pass, in which each task keeps its TRAIN_DOCS least of a language before the shuffle."""
     may = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    chosen = None
-    for lang in langs:
-        one = may.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-        chosen = one if chosen is None else chosen.union(one)
-    if chosen is None:
-        return [], [], []
     piece = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {TRAIN_CHARS})) AS int), {TRAIN_CHARS})")
-    rows = may.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("doc_id", "lang", piece.alias("text"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(TRAIN_DOCS * len(langs)).collect()
-    number = {x: k for k, x in enumerate(sorted(langs))}
-    return [r["text"] for r in rows], [number[r["lang"]] for r in rows], sorted(langs)
+    rows = may.select("lang", "doc_id", piece.alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= TRAIN_DOCS).orderBy("lang", "place").collect()
+    names = sorted({r["lang"] for r in chosen})
+    number = {x: k for k, x in enumerate(names)}
+    chosen.sort(key=lambda r: (r["place"], r["lang"]))
+    return [r["text"] for r in chosen], [number[r["lang"]] for r in chosen], names
 
 
 def language_id(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """docs (doc_id, text, lang, any more columns) with lang_pred and score added.
 
-    Learned from text and lang of rows whose crc32(doc_id as text) mod 5 is not 0 (see sample); text alone enters a
-    prediction. Texts that are null or have no letter get `und` and score 0; so does every text if nothing can be learned.
+    Learned from text and lang of rows whose crc32(doc_id as text) mod 5 is not 0 (see sample), all languages of them; text
+    alone enters a prediction. Rows that repeat give equal rows, and no rows give no rows. Texts that are null or have no letter get `und` and score 0; so does every text if nothing can be learned.
     Every other text gets a learned language, and as score the mean probability of that language over its letters.
     """
     texts, langs, names = sample(docs)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import kernels
 from barline.llm.components import components
-from barline.llm.scratch import cut, tidy
+from barline.llm.scratch import among, cut, tidy
 
 #: Bands and rows: a pair of similarity 0.85 shares no bucket with probability (1 - 0.85**6)**26 < 5e-6; below it, one of
 #: similarity 0.8 with (1 - 0.8**5)**31 < 5e-6.
@@ -235,15 +235,9 @@ def _compare(members: DataFrame, sets: DataFrame, floor: list[int], percent: int
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (rep, text) of docs whose doc_id is in ids (rep).
-
-    A bit map of 2**23 places, at most 2**17 rows whatever the input, drops most other rows before texts are shuffled.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 AS int))")
-    words = cut(ids.select(place(F.col("rep")).alias("at")).groupBy(F.expr("at DIV 64").alias("word")).agg(F.bit_or(bit("at")).alias("bits")), "bits")
-    near = docs.select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("at")).join(F.broadcast(words), F.expr("at DIV 64") == F.col("word"))
-    return near.where(F.col("bits").bitwiseAND(bit("at")) != 0).select("rep", "text").join(ids, "rep", "left_semi")
+    """The rows (rep, text) of docs whose doc_id is in ids (rep); most others go before texts are shuffled."""
+    near = among(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", ids)
+    return near.join(ids, "rep", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> DataFrame:

@@ -37,6 +37,8 @@ WIDE = 0.9
 #: The pieces of byte-level vocabularies, which the library encodes each by itself, and how many of them and of text units are remembered.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 400_000
+#: Characters of texts that are encoded together.
+RUN = 1 << 21
 #: A file is closed once it holds so many ids.
 FILE_IDS = 1 << 22
 
@@ -204,7 +206,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, file_ids:
 
         store.create_dir(base, recursive=True)
         for batch in batches:
-            for at, texts in runs(batch.column(1)):
+            for at, texts in runs(batch.column(1), RUN):
                 for name, packed in zip(batch.column(0).slice(at, len(texts)), units.pack(texts), strict=True):
                     names.append(name.as_py())
                     held.append(np.concatenate([packed, end]))

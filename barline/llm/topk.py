@@ -14,18 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.llm import kernels
 from barline.llm.scratch import cut
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Postings of a block of queries and of one of candidates (of 64 terms: 16384 and 4096 rows), and the queries scored at a
+#: time. Each candidate block is copied once for each query block, so these are as large as memory allows.
+QUERY_BLOCK, CANDIDATE_BLOCK, SCORED = 1 << 20, 1 << 18, 512
 
 
 def _blocks(size: int, scale: float):
-    """Blocks of at most `size` rows: the ids, and (row, term, weight) of all weights that are not 0, ordered by term."""
+    """Blocks of rows of at most `size` components together: the ids, and (row, term, weight) of all weights that are not 0,
+    ordered by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            lengths = np.diff(batch.column(1).offsets.to_numpy()) + 1
+            for at, to in kernels.slices(np.append(0, np.cumsum(lengths)), size):
+                part = batch.slice(at, to - at)
                 lists = part.column(1)
                 values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 count = np.diff(lists.offsets.to_numpy())
@@ -89,13 +94,15 @@ def _score(k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 queries, candidates = _unpack(batch, i, "q_"), _unpack(batch, i, "c_")
-                score = accumulate(queries, candidates)
                 who, what, value = [], [], []
-                for q, own in enumerate(queries[0].tolist()):
-                    best = select(score[q], candidates[0], own, k)
-                    who.append(np.full(len(best), own))
-                    what.append(candidates[0][best])
-                    value.append(score[q, best])
+                for at in range(0, len(queries[0]), SCORED):
+                    mine = np.flatnonzero((queries[1] >= at) & (queries[1] < at + SCORED))
+                    score = accumulate((queries[0][at : at + SCORED], queries[1][mine] - at, queries[2][mine], queries[3][mine]), candidates)
+                    for q, own in enumerate(queries[0][at : at + SCORED].tolist()):
+                        best = select(score[q], candidates[0], own, k)
+                        who.append(np.full(len(best), own))
+                        what.append(candidates[0][best])
+                        value.append(score[q, best])
                 yield pa.record_batch({"query_id": pa.array(np.concatenate(who)), "vec_id": pa.array(np.concatenate(what)), "score": pa.array(np.concatenate(value))})
 
     return run
