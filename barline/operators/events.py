@@ -17,11 +17,12 @@ def causal(bars: DataFrame) -> DataFrame:
     prior = I.frame(-20, -1)
     ratio = F.when(F.count("volume").over(prior) == 20, F.avg("volume").over(prior))
     x = x.withColumn("pv", ratio)
-    cross = F.when((F.col("pc") <= F.col("pm")) & (F.col("close") > F.col("m")), "PRICE_ABOVE_SMA50").when((F.col("pc") >= F.col("pm")) & (F.col("close") < F.col("m")), "PRICE_BELOW_SMA50")
+    cross = F.when((F.col("pc") <= F.col("pm")) & (F.col("close") > F.col("m")), "CLOSE_ABOVE_SMA50").when((F.col("pc") >= F.col("pm")) & (F.col("close") < F.col("m")), "CLOSE_BELOW_SMA50")
+    trend = F.when(F.col("trend") == "up", "BULL").when(F.col("trend") == "down", "BEAR").otherwise("SIDEWAYS")
     found = F.array(
         F.struct(F.lit("technicalIndicators").alias("module"), cross.alias("event_type")),
-        *[F.struct(F.lit("volumeAnomaly").alias("module"), F.when(F.col("volume") >= t * F.col("pv"), f"VOLUME_{t}").alias("event_type")) for t in (1.5, 2.0)],
-        F.struct(F.lit("marketRegime").alias("module"), F.when((F.col("i") > 11) & ((F.col("trend") != F.col("pt")) | (F.col("volatility") != F.col("pvol"))), "REGIME_CHANGE").alias("event_type")),
+        *[F.struct(F.lit("volumeAnomaly").alias("module"), F.when(F.col("volume") >= t * F.col("pv"), "VOLUME_ANOMALY_" + str(t).replace(".", "_") + "X").alias("event_type")) for t in (1.5, 2.0)],
+        F.struct(F.lit("marketRegime").alias("module"), F.when((F.col("i") > 11) & ((F.col("trend") != F.col("pt")) | (F.col("volatility") != F.col("pvol"))), F.concat(F.lit("REGIME_"), trend, F.lit("_"), F.upper("volatility"))).alias("event_type")),
     )
     told = x.select("symbol", "open_ms", "close", "trend", "volatility", F.explode(F.filter(found, lambda e: e["event_type"].isNotNull())).alias("e"))
     return told.select("symbol", "open_ms", "close", "trend", "volatility", "e.module", "e.event_type")
@@ -45,7 +46,7 @@ def pivots(bars: DataFrame, radius: int = 2) -> DataFrame:
     return found.withColumn("leg", before.isNull() | (before != F.col("kind")))
 
 
-def gaps(bars: DataFrame, horizon: int = 98) -> DataFrame:
+def gaps(bars: DataFrame, horizon: int = 99) -> DataFrame:
     """Fair-value gaps over three bars, stamped at the third, and whether a later bar within the horizon fills them."""
     ahead = I.frame(1, horizon)
     x = bars.withColumn("h0", I.lag("high", 2)).withColumn("l0", I.lag("low", 2)).withColumn("lo", F.min("low").over(ahead)).withColumn("hi", F.max("high").over(ahead))

@@ -54,12 +54,12 @@ def true_range() -> Column:
 
 
 def rsi_simple(bars: DataFrame, rows: int = 14) -> DataFrame:
-    """rsi from the mean gain and loss over exactly `rows` changes; 100 without losses, 50 when flat."""
+    """rsi from the mean gain and loss over exactly `rows` changes; 100 without losses."""
     moved = bars.withColumn("_d", F.col("close") - lag("close"))
     gain = full(F.avg(F.greatest(F.col("_d"), F.lit(0.0))).over(frame(1 - rows, 0)), "_d", rows)
     loss = full(F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(frame(1 - rows, 0)), "_d", rows)
     told = moved.withColumn("_g", gain).withColumn("_l", loss)
-    rsi = F.when((F.col("_l") == 0) & (F.col("_g") == 0), 50.0).when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))
+    rsi = F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))
     return told.withColumn("rsi", F.when(F.col("_g").isNotNull(), rsi)).drop("_d", "_g", "_l")
 
 

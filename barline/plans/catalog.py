@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.plans import relational, sequential, series
+from barline.plans import evidence, relational, sequential, series
 
-QUERIES = {**series.QUERIES, **relational.QUERIES, **sequential.QUERIES}
-ORACLE_SQL = {**series.ORACLE_SQL, **relational.ORACLE_SQL, **sequential.ORACLE_SQL}
+QUERIES = {**series.QUERIES, **relational.QUERIES, **sequential.QUERIES, **evidence.QUERIES}
+ORACLE_SQL = {**series.ORACLE_SQL, **relational.ORACLE_SQL, **sequential.ORACLE_SQL, **evidence.ORACLE_SQL}

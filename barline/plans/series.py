@@ -47,7 +47,7 @@ def indicator_sma_bollinger(b: DataFrame) -> DataFrame:
 
 _RSI = f""", d AS (SELECT *, close - lag(close) OVER {W}) AS d FROM bars),
 x AS (SELECT *, count(d) OVER f AS n, avg(greatest(d, 0)) OVER f AS g, avg(greatest(-d, 0)) OVER f AS l FROM (SELECT * FROM d) WINDOW f AS {W} ROWS 13 PRECEDING)),
-r AS (SELECT symbol, open_ms, CASE WHEN n = 14 THEN CASE WHEN l = 0 AND g = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi FROM x)"""
+r AS (SELECT symbol, open_ms, CASE WHEN n = 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi FROM x)"""
 
 
 @query(_RSI.replace("avg(greatest(d, 0))", "avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END)").replace("avg(greatest(-d, 0))", "avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END)") + f""", p AS (SELECT *, lag(rsi) OVER {W}) AS before FROM r)
@@ -174,9 +174,9 @@ EVENTS_SQL = CONTEXT_SQL + f""", e0 AS (SELECT *, avg(close) OVER a AS m, count(
   FROM ctx WINDOW a AS {W} ROWS 49 PRECEDING), v AS {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), w AS {W})),
 e1 AS (SELECT *, lag(m) OVER w AS pm, lag(n) OVER w AS pn FROM e0 WINDOW w AS {W})),
 ev AS (
-  SELECT symbol, open_ms, 'technicalIndicators' AS module, CASE WHEN pc <= pm AND close > m THEN 'PRICE_ABOVE_SMA50' ELSE 'PRICE_BELOW_SMA50' END AS event_type FROM e1 WHERE n = 50 AND pn = 50 AND (pc <= pm AND close > m OR pc >= pm AND close < m)
-  UNION ALL SELECT symbol, open_ms, 'volumeAnomaly', 'VOLUME_' || CASE WHEN t = 2 THEN '2.0' ELSE '1.5' END FROM e1, (SELECT unnest([1.5, 2.0]) AS t) WHERE nv = 20 AND volume >= t * pv
-  UNION ALL SELECT symbol, open_ms, 'marketRegime', 'REGIME_CHANGE' FROM e1 WHERE i > 11 AND (trend <> pt OR volatility <> pvol))"""
+  SELECT symbol, open_ms, 'technicalIndicators' AS module, CASE WHEN pc <= pm AND close > m THEN 'CLOSE_ABOVE_SMA50' ELSE 'CLOSE_BELOW_SMA50' END AS event_type FROM e1 WHERE n = 50 AND pn = 50 AND (pc <= pm AND close > m OR pc >= pm AND close < m)
+  UNION ALL SELECT symbol, open_ms, 'volumeAnomaly', 'VOLUME_ANOMALY_' || CASE WHEN t = 2 THEN '2_0X' ELSE '1_5X' END FROM e1, (SELECT unnest([1.5, 2.0]) AS t) WHERE nv = 20 AND volume >= t * pv
+  UNION ALL SELECT symbol, open_ms, 'marketRegime', 'REGIME_' || CASE trend WHEN 'up' THEN 'BULL' WHEN 'down' THEN 'BEAR' ELSE 'SIDEWAYS' END || '_' || upper(volatility) FROM e1 WHERE i > 11 AND (trend <> pt OR volatility <> pvol))"""
 
 
 @query(EVENTS_SQL + " SELECT * FROM ev")
@@ -193,7 +193,7 @@ def events_pivots_legs(b: DataFrame) -> DataFrame:
     return events.pivots(b).select("symbol", "open_ms", "confirmed_ms", "kind", R("price").alias("price"), "leg")
 
 
-@query(f""", x AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0, min(low) OVER f AS lo, max(high) OVER f AS hi FROM bars WINDOW w AS {W}), f AS {W} ROWS BETWEEN 1 FOLLOWING AND 98 FOLLOWING))
+@query(f""", x AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0, min(low) OVER f AS lo, max(high) OVER f AS hi FROM bars WINDOW w AS {W}), f AS {W} ROWS BETWEEN 1 FOLLOWING AND 99 FOLLOWING))
 SELECT symbol, open_ms, CASE WHEN h0 < low THEN 'bullish' ELSE 'bearish' END AS kind, round(CASE WHEN h0 < low THEN h0 ELSE high END, 6) AS gap_low, round(CASE WHEN h0 < low THEN low ELSE l0 END, 6) AS gap_high,
   coalesce(CASE WHEN h0 < low THEN lo <= h0 ELSE hi >= l0 END, false) AS mitigated FROM x WHERE h0 < low OR l0 > high""")
 def events_fvg_mitigation(b: DataFrame) -> DataFrame:
@@ -224,15 +224,6 @@ def pattern_ngrams(b: DataFrame) -> DataFrame:
     return patterns.ngrams(named, (3, 4, 5))
 
 
-@query(EVENTS_SQL + """, v AS (SELECT symbol, open_ms, module, CASE WHEN event_type LIKE '%ABOVE%' THEN 1 WHEN event_type LIKE '%BELOW%' THEN -1 ELSE 0 END AS way FROM ev),
-m AS (SELECT symbol, open_ms, module, min(way) AS way FROM v GROUP BY ALL HAVING count(DISTINCT way) = 1)
-SELECT symbol, open_ms, CAST(way AS INTEGER) AS way, count(*) AS modules FROM m GROUP BY symbol, open_ms, way HAVING count(*) >= 2""")
-def confluence_votes(b: DataFrame) -> DataFrame:
-    way = F.when(F.col("event_type").contains("ABOVE"), 1).when(F.col("event_type").contains("BELOW"), -1).otherwise(0)
-    one = events.causal(b).withColumn("way", way).groupBy("symbol", "open_ms", "module").agg(F.min("way").alias("way"), F.max("way").alias("other")).where("way = other")
-    return one.groupBy("symbol", "open_ms", "way").agg(F.count("*").alias("modules")).where("modules >= 2")
-
-
 HORIZON_SQL = f""", h0 AS (SELECT *, sum(CASE WHEN g > 3600000 THEN 1 ELSE 0 END) OVER {W} ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, open_ms - lag(open_ms) OVER {W}) AS g FROM bars)),
 h1 AS (SELECT symbol, open_ms, h, close, lead(close, h) OVER w AS c, max(high) OVER f AS hi, min(low) OVER f AS lo FROM h0, (SELECT unnest([1, 3, 6]) AS h)
   WINDOW w AS (PARTITION BY symbol, segment, h ORDER BY open_ms), f AS (PARTITION BY symbol, segment, h ORDER BY open_ms ROWS BETWEEN 1 FOLLOWING AND h FOLLOWING)),

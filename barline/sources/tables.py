@@ -40,6 +40,11 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return ohlcv(table(spark, folder, "events"), "event_type", "ts", "value", "event_id")
 
 
+def four_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of four hours of the events, the event type as symbol."""
+    return ohlcv(table(spark, folder, "events"), "event_type", "ts", "value", "event_id", 4 * HOUR)
+
+
 def daily_prices(spark: SparkSession, folder: str) -> DataFrame:
     """(symbol, day, close): the mean order total of each priority and day."""
     orders = table(spark, folder, "orders")
@@ -51,3 +56,8 @@ HOURLY_SQL = """ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 360000000
 bars AS (SELECT symbol, CAST(open_ms AS BIGINT) AS open_ms, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
   count(value) AS volume, sum(value) AS quote FROM ticks GROUP BY symbol, open_ms)"""
 DAILY_SQL = "daily AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS close FROM orders GROUP BY ALL)"
+FOUR_SQL = """b0 AS (SELECT event_type AS symbol, epoch_us(ts) // 14400000000 * 14400000 AS open_ms, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+  count(value) AS volume, sum(value) AS quote FROM events GROUP BY 1, 2),
+b1 AS (SELECT *, open_ms - lag(open_ms) OVER (PARTITION BY symbol ORDER BY open_ms) AS gap FROM b0),
+b2 AS (SELECT *, sum(CASE WHEN gap > 14400000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY open_ms ROWS UNBOUNDED PRECEDING) AS segment FROM b1),
+bars AS (SELECT symbol || '#' || CAST(segment AS BIGINT) AS symbol, CAST(open_ms AS BIGINT) AS open_ms, open, high, low, close, volume, quote, row_number() OVER (PARTITION BY symbol, segment ORDER BY open_ms) - 1 AS i FROM b2)"""
