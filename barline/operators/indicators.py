@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -71,29 +72,42 @@ def ema_finite(x: str, period: int, window: int = 60) -> Column:
     return F.when(F.size(values) == window, F.aggregate(rest, values[0], lambda e, v: e + alpha * (v - e)))
 
 
-def recurse(bars: DataFrame, x: str, name: str, start: Callable[[], Callable[[float | None], float | None]]) -> DataFrame:
-    """Adds name: what start()'s function returns for the values of x of one symbol in the order of open_ms.
+def recurse_many(bars: DataFrame, steps: list[tuple[str, str, Callable[[], Callable[[float | None], float | None]]]]) -> DataFrame:
+    """Adds for each (x, name, start) in turn: what start()'s function returns for the values of x of one symbol in the order
+    of open_ms; x may be a name before it.
 
-    For recurrences whose rounding depends on the order. Rows stream through the sorted partition, so a task holds a batch
-    and one state, however long a symbol's series is.
+    For recurrences whose rounding depends on the order. Rows stream through the sorted partition once, so a task holds a
+    batch and a state for each step, however long a symbol's series is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, step = None, None
+        symbol, states = None, []
         for batch in batches:
-            out = []
-            for s, v in zip(batch.column("symbol").to_pylist(), batch.column(x).to_pylist(), strict=True):
-                if step is None or s != symbol:
-                    symbol, step = s, start()
-                out.append(step(v))
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
-
-    schema = StructType([*bars.schema.fields, StructField(name, DoubleType())])
+            symbols = batch.column("symbol").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(symbols) else np.zeros(0, int)
+            known = {c: batch.column(c) for c in {x for x, _, _ in steps} & set(batch.schema.names)}
+            values = {c: [None if v != v else v for v in col.cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()] for c, col in known.items()}
+            values |= {name: [] for _, name, _ in steps}
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(symbols)], strict=True):
+                if not states or symbols[a] != symbol:
+                    symbol, states = symbols[a], [start() for _, _, start in steps]
+                for step, (x, name, _) in zip(states, steps, strict=True):
+                    values[name] += map(step, values[x][a:b])
+            names = [name for _, name, _ in steps]
+            yield pa.record_batch([*batch.columns, *[pa.array(values[n], pa.float64()) for n in names]], names=[*batch.schema.names, *names])
+
+    schema = StructType([*bars.schema.fields, *[StructField(name, DoubleType()) for _, name, _ in steps]])
     return bars.repartition("symbol").sortWithinPartitions("symbol", "open_ms").mapInArrow(run, schema)
 
 
-def ema_recursive(bars: DataFrame, x: str, period: int, name: str = "ema") -> DataFrame:
-    """Exponential mean seeded with the mean of the first `period` values; null before; a null repeats the one before."""
+def recurse(bars: DataFrame, x: str, name: str, start: Callable[[], Callable[[float | None], float | None]]) -> DataFrame:
+    """recurse_many() for one step."""
+    return recurse_many(bars, [(x, name, start)])
+
+
+def smoothed(seed: int, period: int, ema: bool) -> Callable[[], Callable[[float | None], float | None]]:
+    """A start for recurse(): the mean of the first `seed` values, then smoothed with 2 / (period + 1) (ema) or 1 / period
+    (Wilder). Null before; a null repeats the one before."""
 
     def start() -> Callable[[float | None], float | None]:
         seen: list[float] = []
@@ -103,21 +117,28 @@ def ema_recursive(bars: DataFrame, x: str, period: int, name: str = "ema") -> Da
             if v is None:
                 return last[0] if last else None
             if last:
-                last[0] += (v - last[0]) * 2.0 / (period + 1)
-            else:
-                seen.append(v)
-                if len(seen) < period:
-                    return None
-                last.append(sum(seen) / period)
+                last[0] = last[0] + (v - last[0]) * 2.0 / (period + 1) if ema else (last[0] * (period - 1) + v) / period
+                return last[0]
+            seen.append(v)
+            if len(seen) < seed:
+                return None
+            last.append(sum(seen) / seed)
             return last[0]
 
         return step
 
-    return recurse(bars, x, name, start)
+    return start
 
 
-def rsi_wilder(bars: DataFrame, x: str = "close", period: int = 14, name: str = "rsi") -> DataFrame:
-    """Wilder's index: means of the first `period` changes, then smoothed; 100 without losses, null before."""
+def ema_recursive(bars: DataFrame, x: str, period: int, name: str = "ema") -> DataFrame:
+    """Exponential mean seeded with the mean of the first `period` values; null before; a null repeats the one before."""
+    return recurse(bars, x, name, smoothed(period, period, True))
+
+
+def wilder_index(period: int = 14, twice: bool = False, flat: float = 100.0) -> Callable[[], Callable[[float | None], float | None]]:
+    """A start for recurse(): Wilder's index of closes: means of the first `period` changes, then smoothed; 100 without
+    losses, `flat` without gains and losses, null before. twice: the last change of the seed counts once more at the seed,
+    as (mean + change) / period, which the stored indicators of the reference do."""
 
     def start() -> Callable[[float | None], float | None]:
         state = {"before": None, "n": 0, "gain": 0.0, "loss": 0.0}
@@ -134,14 +155,53 @@ def rsi_wilder(bars: DataFrame, x: str = "close", period: int = 14, name: str =
                 if state["n"] < period:
                     return None
                 state["gain"], state["loss"] = state["gain"] / period, state["loss"] / period
+                if twice:
+                    state["gain"], state["loss"] = (state["gain"] + gain) / period, (state["loss"] + loss) / period
             else:
                 state["gain"] = (state["gain"] * (period - 1) + gain) / period
                 state["loss"] = (state["loss"] * (period - 1) + loss) / period
-            return 100.0 if state["loss"] == 0 else 100 - 100 / (1 + state["gain"] / state["loss"])
+            if state["loss"] == 0:
+                return flat if state["gain"] == 0 else 100.0
+            return 100 - 100 / (1 + state["gain"] / state["loss"])
 
         return step
 
-    return recurse(bars, x, name, start)
+    return start
+
+
+def rsi_wilder(bars: DataFrame, x: str = "close", period: int = 14, name: str = "rsi") -> DataFrame:
+    """Wilder's index of x, see wilder_index()."""
+    return recurse(bars, x, name, wilder_index(period))
+
+
+def adx(rows: int = 42, period: int = 14) -> Column:
+    """Directional index from the last `rows` bars (high, low, close), all of them there or not; 20 for under two periods."""
+    bars = F.collect_list(F.struct("high", "low", "close")).over(frame(1 - rows, 0))
+    n = F.size(bars)
+    pair = F.transform(F.sequence(F.lit(2), n), lambda i: F.struct(F.element_at(bars, i - 1).alias("p"), F.element_at(bars, i).alias("c")))
+    c = lambda e, x: e["c"][x]
+    up, down = (lambda e: c(e, "high") - e["p"]["high"]), (lambda e: e["p"]["low"] - c(e, "low"))
+    moves = F.transform(
+        pair,
+        lambda e: F.struct(
+            F.greatest(c(e, "high") - c(e, "low"), F.abs(c(e, "high") - e["p"]["close"]), F.abs(c(e, "low") - e["p"]["close"])).alias("t"),
+            F.when((up(e) > down(e)) & (up(e) > 0), up(e)).otherwise(0.0).alias("p"),
+            F.when((down(e) > up(e)) & (down(e) > 0), down(e)).otherwise(0.0).alias("m"),
+        ),
+    )
+    start = F.struct(F.lit(0).alias("k"), *[F.lit(0.0).alias(x) for x in "tpm"], F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+
+    def take(a: Column, e: Column) -> Column:
+        grown = {x: F.when(a["k"] < period, a[x] + e[x]).otherwise(a[x] - a[x] / period + e[x]) for x in "tpm"}
+        plus, minus = (100 * grown[x] / F.greatest(grown["t"], F.lit(1e-9)) for x in "pm")
+        dx = 100 * F.abs(plus - minus) / F.greatest(plus + minus, F.lit(1e-9))
+        full = a["k"] + 1 >= period
+        seen = F.when(full, a["n"] + 1).otherwise(0)
+        mean = F.when(seen < period, a["s"] + dx).when(seen == period, (a["s"] + dx) / period).otherwise((a["s"] * (period - 1) + dx) / period)
+        return F.struct((a["k"] + 1).alias("k"), *[grown[x].alias(x) for x in "tpm"], seen.alias("n"), F.when(full, mean).otherwise(0.0).alias("s"))
+
+    told = F.aggregate(moves, start, take, lambda a: F.when(a["n"] == 0, 20.0).when(a["n"] < period, a["s"] / a["n"]).otherwise(a["s"]))
+    return F.when(n >= 2 * period, told).otherwise(20.0)
 
 
 def obv_step() -> Column:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.operators.indicators import frame
+
 
 def spaced(positions: Column, distance: int) -> Column:
     """Of an ascending array those that lie at least `distance` after the last one kept."""
@@ -54,37 +56,19 @@ def matched_controls(events: DataFrame, candidates: DataFrame, family: list[str]
 
 def triple_barrier(bars: DataFrame, up: float = 0.05, down: float = 0.04, hold: int = 20, settle: int = 2) -> DataFrame:
     """(symbol, open_ms, outcome, exit_price): entry at the next open; from `settle` bars after entry on the first bar that
-    gaps or trades through the stop or the target decides (both: stop), else the last close. Null where bars are missing."""
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("open_ms")
-        o, h, l, c = (b[k].to_numpy(float) for k in ("open", "high", "low", "close"))
-        n, said, price = len(b), [], []
-        for i in range(n):
-            if i + 1 + hold >= n:
-                said.append(None)
-                price.append(None)
-                continue
-            entry = o[i + 1]
-            stop, target = entry * (1 - down), entry * (1 + up)
-            found = ("timeout", c[i + 1 + hold])
-            for j in range(i + 1 + settle, i + 2 + hold):
-                if o[j] <= stop:
-                    found = ("stop", o[j])
-                elif o[j] >= target:
-                    found = ("target", o[j])
-                elif l[j] <= stop:
-                    found = ("stop", stop)
-                elif h[j] >= target:
-                    found = ("target", target)
-                else:
-                    continue
-                break
-            said.append(found[0])
-            price.append(found[1])
-        return pd.DataFrame({"symbol": key[0], "open_ms": b["open_ms"], "outcome": said, "exit_price": price})
-
-    return bars.groupBy("symbol").applyInPandas(run, "symbol string, open_ms long, outcome string, exit_price double")
+    gaps or trades through the stop or the target decides (both: stop), else the last close. Null where bars are missing.
+    A row looks at the `hold` + 1 bars ahead of it, as a frame."""
+    ahead = F.collect_list(F.struct("open", "high", "low", "close")).over(frame(1, hold + 1))
+    x = bars.withColumn("_a", ahead).withColumn("_in", F.get("_a", F.lit(0))["open"])
+    stop, target = F.col("_in") * (1 - down), F.col("_in") * (1 + up)
+
+    def decided(e: Column) -> Column:
+        told = lambda name, price: F.struct(F.lit(name).alias("outcome"), price.alias("price"))
+        return F.when(e["open"] <= stop, told("stop", e["open"])).when(e["open"] >= target, told("target", e["open"])).when(e["low"] <= stop, told("stop", stop)).when(e["high"] >= target, told("target", target))
+
+    found = F.get(F.filter(F.transform(F.slice("_a", settle + 1, hold - settle + 1), decided), lambda d: d.isNotNull()), F.lit(0))
+    x = x.withColumn("_f", F.when(F.size("_a") == hold + 1, F.coalesce(found, F.struct(F.lit("timeout").alias("outcome"), F.get("_a", F.lit(hold))["close"].alias("price")))))
+    return x.select("symbol", "open_ms", F.col("_f.outcome").alias("outcome"), F.col("_f.price").alias("exit_price"))
 
 
 def monte_carlo(returns: DataFrame, order: list[str], paths: int = 1000, trades: int = 250, share: float = 0.12, start: float = 10_000.0, ruin: float = 0.4, seed: int = 42) -> DataFrame:

@@ -254,16 +254,15 @@ def liquidation_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("symbol", "bin").agg(part(100), part(50), part(25), F.round(F.sum("size"), 4).alias("total"))
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM q JOIN embeddings c ON q.vec_id <> c.vec_id)
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM q JOIN embeddings c ON q.vec_id <> c.vec_id)
 SELECT query_id, vec_id, round(s, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10""")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest vectors of five stated ones, in every row that has one: these are broadcast, the rest is scanned once."""
+    """The ten vectors most like each whose id is divisible by 100, among all others."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("s", dot("e", "qe") / F.sqrt(dot("e", "e") * dot("qe", "qe")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "vec_id", F.round("s", 5).alias("similarity"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    far = lambda a, b: -joins.dot(a, b) / F.sqrt(joins.dot(a, a) * joins.dot(b, b))
+    near = joins.nearest_rows(q, v, far, F.col("vec_id") != F.col("query_id"), 10)
+    return near.select("query_id", "vec_id", F.round(-F.col("d"), 5).alias("similarity"))
 
 
 @query("""WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), c AS (SELECT label AS centre, i, avg(x) AS m FROM u GROUP BY label, i),
