@@ -130,3 +130,30 @@ def expected_best(trials: Column, spread: Column) -> Column:
     """The best ratio to expect of so many trials without merit whose ratios have that deviation; 0 for one trial."""
     euler = 0.5772156649015329
     return F.when(trials > 1, spread * ((1 - euler) * normal_quantile(1 - 1 / trials) + euler * normal_quantile(1 - 1 / (trials * 2.718281828459045)))).otherwise(0.0)
+
+
+def block_means(values: DataFrame, by: list[str], x: str, order: list[str], samples: int, block: int, circular: bool, seed: int = 42) -> DataFrame:
+    """(by, sample, mean): means of n values drawn in blocks of neighbours with replacement, n as many as a group has.
+
+    A block's start is a hash of seed, sample and block number, modulo n (circular: a block runs on at the start again) or
+    modulo the starts at which a whole block fits; the last block is cut to what is missing. Sums come from prefix sums, so
+    that a draw is two look-ups whatever the block's length: a sample of n values has n / block draws. block 1 draws single
+    values. Groups with fewer values than a block use blocks of their size.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    whole = Window.partitionBy(*by)
+    numbered = values.where(F.col(x).isNotNull()).select(*by, F.row_number().over(w).cast("long").alias("_i"), F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"), F.count("*").over(whole).alias("_n"))
+    sizes = numbered.groupBy(*by).agg(F.max("_n").alias("_n"), F.max_by("_s", "_i").alias("_total"))
+    sizes = sizes.withColumn("_b", F.least(F.lit(block).cast("long"), "_n"))
+    draws = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / F.col("_b")).cast("long") - 1)))
+    length = F.least("_b", F.col("_n") - F.col("_k") * F.col("_b"))
+    starts = F.col("_n") if circular else F.col("_n") - F.col("_b") + 1
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("_k").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("_from", number % starts).withColumn("_to", F.col("_from") + length)
+    # prefix sums up to a place; places over n have gone round once
+    ends = draws.select(*by, "sample", "_n", "_total", F.explode(F.array(F.struct(F.col("_to").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("_from").alias("at"), F.lit(-1).alias("sign")))).alias("e"))
+    ends = ends.withColumn("_round", (F.col("e.at") > F.col("_n")).cast("long")).withColumn("_i", F.col("e.at") - F.col("_round") * F.col("_n"))
+    met = ends.join(numbered.select(*by, "_i", "_s"), [*by, "_i"], "left")
+    part = F.col("e.sign") * (F.coalesce("_s", F.lit(0.0)) + F.col("_round") * F.col("_total"))
+    return met.groupBy(*by, "sample").agg((F.sum(part) / F.max("_n")).alias("mean"))

@@ -170,3 +170,120 @@ def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["deflated_sharpe"] = deflated_sharpe
+
+
+def _draw_sql(block: int, circular: bool, name: str) -> str:
+    starts = "n" if circular else f"n - {block} + 1"
+    at = "1 + (start + o) % n" if circular else "1 + start + o"
+    return f"""SELECT '{name}' AS method, b.kind, b.sample, sum(x.v) / any_value(n) AS mean FROM (SELECT kind, n, sample, k, least({block}, n - k * {block}) AS len, CAST(('0x' || substr(md5('42:' || sample || ':' || k), 1, 8)) AS BIGINT) % ({starts}) AS start
+  FROM (SELECT kind, n, sample, CAST(unnest(range(0, CAST(ceil(n / {block}) AS BIGINT))) AS BIGINT) AS k FROM (SELECT kind, n, CAST(unnest(range(0, 20)) AS BIGINT) AS sample FROM s))) b, LATERAL (SELECT unnest(range(0, CAST(len AS BIGINT))) AS o) q JOIN x ON x.kind = b.kind AND x.i = {at} GROUP BY b.kind, b.sample"""
+
+
+@query(f"""WITH x AS (SELECT event_type AS kind, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, value - 50 AS v FROM events), s AS (SELECT kind, count(*) AS n FROM x GROUP BY kind),
+m AS ({_draw_sql(8, True, 'circular')} UNION ALL {_draw_sql(8, False, 'plain')} UNION ALL {_draw_sql(1, True, 'iid')})
+SELECT method, kind, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high, round((1 + count(*) FILTER (mean <= 0)) / (count(*) + 1), 6) AS p FROM m GROUP BY method, kind""")
+def bootstrap_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Means of 20 samples of each kind's values by circular blocks, by blocks that end inside, and one by one."""
+    x = table(spark, d, "events").select(F.col("event_type").alias("kind"), "event_id", (F.col("value") - 50).alias("v"))
+    out = None
+    for method, block, circular in (("circular", 8, True), ("plain", 8, False), ("iid", 1, True)):
+        m = stats.block_means(x, ["kind"], "v", ["event_id"], 20, block, circular).withColumn("method", F.lit(method))
+        out = m if out is None else out.unionByName(m)
+    q = F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95)))
+    g = out.groupBy("method", "kind").agg(F.avg("mean").alias("m"), q.alias("q"), ((1 + F.count_if(F.col("mean") <= 0)) / (F.count("*") + 1)).alias("p"))
+    return g.select("method", "kind", R("m").alias("mean"), R(F.col("q")[0]).alias("low"), R(F.col("q")[1]).alias("high"), R("p").alias("p"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), k AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events))
+SELECT k.user_id, k.event_type, l.event_id AS filled_from FROM k LEFT JOIN (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) l USING (user_id, event_type) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = k.user_id AND e.event_type = k.event_type)""")
+def incremental_gap_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Declared keys that are not there yet, with what another source has for them."""
+    e = table(spark, d, "events")
+    grid = e.select("user_id").distinct().join(F.broadcast(e.agg(F.collect_set("event_type").alias("all"))), F.lit(True)).select("user_id", F.explode("all").alias("event_type"))  # the types are few
+    have = e.where("event_id % 2 = 0").select("user_id", "event_type").distinct()
+    other = e.where("event_id % 2 = 1").groupBy("user_id", "event_type").agg(F.min("event_id").alias("filled_from"))
+    keys = ["user_id", "event_type"]
+    return grid.join(have, keys, "left_anti").join(other, keys, "left").select(*keys, "filled_from")
+
+
+@query("""WITH f AS (SELECT user_id % 200 AS id, event_id, CASE WHEN event_id % 3 = 0 THEN value END AS fill, CASE WHEN event_id % 5 = 0 THEN value END AS outcome FROM events)
+SELECT id, round(arg_min(fill, event_id) FILTER (fill IS NOT NULL), 6) AS fill, round(arg_min(outcome, event_id) FILTER (outcome IS NOT NULL), 6) AS outcome, count(fill) - CASE WHEN count(fill) > 0 THEN 1 ELSE 0 END AS refused FROM f GROUP BY id""")
+def write_once_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Each field keeps its first value; later ones are refused and counted."""
+    f = table(spark, d, "events").select((F.col("user_id") % 200).alias("id"), "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("fill"), F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("outcome"))
+    first = lambda c: R(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("event_id")))).alias(c)
+    return f.groupBy("id").agg(first("fill"), first("outcome"), F.greatest(F.count("fill") - 1, F.lit(0)).cast("long").alias("refused"))
+
+
+@query(f"""WITH {DAILY_SQL}, n AS (SELECT symbol, day, lead(close) OVER {D}) AS entry, lead(close, 21) OVER {D}) AS leave, close / lag(close, 20) OVER {D}) - 1 AS score FROM daily),
+m AS (SELECT *, leave / entry - 1 AS r FROM n WHERE leave IS NOT NULL AND score IS NOT NULL), q AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, symbol) AS k, count(*) OVER (PARTITION BY day) AS c FROM m WHERE (day - DATE '1990-01-01') % 20 = 0)
+SELECT day, c AS members, round(avg(r) FILTER (k <= 2), 6) AS top, round(avg(r) FILTER (k > c - 2), 6) AS bottom, round(avg(r) FILTER (k <= 2) - avg(r) FILTER (k > c - 2), 6) AS spread, round(avg(r) FILTER (k <= 2) - CAST(0.004 AS DOUBLE), 6) AS net FROM q WHERE c >= 3 GROUP BY day, c""")
+def forward_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Matured decisions only: the best and worst two by momentum from the next price to the twenty-first, and their spread."""
+    w = _by_day()
+    n = daily_prices(spark, d).select("symbol", "day", (F.lead("close", 21).over(w) / F.lead("close").over(w) - 1).alias("r"), (F.col("close") / F.lag("close", 20).over(w) - 1).alias("score"))
+    m = n.where("r IS NOT NULL AND score IS NOT NULL AND datediff(day, DATE '1990-01-01') % 20 = 0")
+    day = Window.partitionBy("day")
+    q = m.withColumn("k", F.row_number().over(day.orderBy(F.desc("score"), "symbol"))).withColumn("c", F.count("*").over(day)).where("c >= 3")
+    of = lambda c: F.avg(F.when(c, F.col("r")))
+    top, low = of(F.col("k") <= 2), of(F.col("k") > F.col("c") - 2)
+    return q.groupBy("day", F.col("c").alias("members")).agg(R(top).alias("top"), R(low).alias("bottom"), R(top - low).alias("spread"), R(top - 0.004).alias("net"))
+
+
+@query(f"""WITH {DAILY_SQL}, n AS (SELECT *, row_number() OVER {D}) - 1 AS prior FROM daily), q AS (SELECT day, count(*) AS members FROM n WHERE prior >= 260 GROUP BY day HAVING count(*) >= 3) SELECT min(day) AS first_day, count(*) AS days FROM q""")
+def first_qualifying_session(spark: SparkSession, d: str) -> DataFrame:
+    """The first day on which three members have 260 prices before it."""
+    n = daily_prices(spark, d).withColumn("prior", F.row_number().over(_by_day()) - 1).where("prior >= 260")
+    return n.groupBy("day").agg(F.count("*").alias("members")).where("members >= 3").agg(F.min("day").alias("first_day"), F.count("*").alias("days"))
+
+
+@query("""WITH b AS (SELECT event_type AS symbol, CASE WHEN value > 100 THEN 'above' ELSE 'below' END AS side, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS volume FROM events GROUP BY ALL)
+SELECT symbol, side, bin, volume, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY volume DESC, bin) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY volume DESC, bin) <= 3""")
+def top_bins_per_side(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.when(F.col("value") > 100, "above").otherwise("below").alias("side"), F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("volume"))
+    w = Window.partitionBy("symbol", "side").orderBy(F.desc("volume"), "bin")
+    return b.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("symbol", "side", "bin", "volume", "rank")
+
+
+@query(f"""WITH {DAILY_SQL}, r AS (SELECT symbol, day, ln(close / lag(close) OVER {D}) ) AS r, close FROM daily), x AS (SELECT *, lag(close, 21) OVER w AS c21, lag(close, 126) OVER w AS c126, stddev_samp(r) OVER s AS sd, count(r) OVER s AS ns, max(close) OVER y AS top, count(*) OVER y AS ny FROM r WINDOW w AS (PARTITION BY symbol ORDER BY day), s AS (PARTITION BY symbol ORDER BY day ROWS 59 PRECEDING), y AS (PARTITION BY symbol ORDER BY day ROWS 251 PRECEDING))
+SELECT symbol, day, round(c21 / c126 - 1, 6) AS momentum, round(close / c21 - 1, 6) AS reversal, CASE WHEN ns = 60 THEN round(-sd, 6) END AS low_volatility, CASE WHEN ny = 252 THEN round(close / top, 6) END AS of_high FROM x""")
+def causal_equity_features(spark: SparkSession, d: str) -> DataFrame:
+    """Momentum without the last month, reversal, low volatility and the nearness of the year's high; null without a full window."""
+    w = _by_day()
+    s, y = w.rowsBetween(-59, 0), w.rowsBetween(-251, 0)
+    r = daily_prices(spark, d).withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
+    c = F.col("close")
+    return r.select("symbol", "day", R(F.lag("close", 21).over(w) / F.lag("close", 126).over(w) - 1).alias("momentum"), R(c / F.lag("close", 21).over(w) - 1).alias("reversal"), F.when(F.count("r").over(s) == 60, R(-F.stddev_samp("r").over(s))).alias("low_volatility"), F.when(F.count("*").over(y) == 252, R(c / F.max("close").over(y))).alias("of_high"))
+
+
+@query(f"""WITH {DAILY_SQL}, a AS (SELECT symbol, day, close FROM daily), b AS (SELECT symbol, day, close * CASE WHEN day >= DATE '1997-01-01' THEN 1 + CAST(1e-12 AS DOUBLE) ELSE 1 END + CASE WHEN day = DATE '1996-06-03' THEN 1 ELSE 0 END AS close FROM daily)
+SELECT a.symbol, count(*) AS days, count(*) FILTER (abs(a.close - b.close) > 1e-6) AS differ, round(max(abs(a.close - b.close)), 4) AS most FROM a JOIN b USING (symbol, day) GROUP BY a.symbol""")
+def stored_parity(spark: SparkSession, d: str) -> DataFrame:
+    """What is computed against what was stored (one day differs on purpose, others by a rounding)."""
+    a = daily_prices(spark, d)
+    tiny = F.when(F.col("day") >= "1997-01-01", 1 + 1e-12).otherwise(1.0)
+    b = a.select("symbol", "day", (F.col("close") * tiny + F.when(F.col("day") == "1996-06-03", 1).otherwise(0)).alias("stored"))
+    gap = F.abs(F.col("close") - F.col("stored"))
+    return a.join(b, ["symbol", "day"]).groupBy("symbol").agg(F.count("*").alias("days"), F.count_if(gap > 1e-6).alias("differ"), F.round(F.max(gap), 4).alias("most"))
+
+
+@query("""WITH x AS (SELECT label % 2 AS y, embedding FROM embeddings), u AS (SELECT y, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM x), m AS (SELECT i, abs(avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0)) / stddev_samp(v) AS weight FROM u GROUP BY i)
+SELECT CAST(i AS INTEGER) AS feature, round(weight, 5) AS weight FROM m ORDER BY weight DESC, i LIMIT 10""")
+def feature_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The ten features whose means differ most between classes: a top-k report."""
+    u = table(spark, d, "embeddings").select((F.col("label") % 2).alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "v"))
+    of = lambda k: F.avg(F.when(F.col("y") == k, F.col("v")))
+    m = u.groupBy("feature").agg((F.abs(of(1) - of(0)) / F.stddev_samp("v")).alias("weight"))
+    return m.orderBy(F.desc("weight"), "feature").limit(10).select("feature", F.round("weight", 5).alias("weight"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, value - 60 AS pnl FROM events), f AS (SELECT *, sum(pnl) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS 3 PRECEDING) < -100 AS trip FROM p),
+l AS (SELECT *, max(CASE WHEN trip THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tripped FROM f)
+SELECT event_id, trip, coalesce(t - tripped < 86400000, false) AS halted FROM l""")
+def breaker_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Whether four trades together lose too much, and whether that happened within the last day: no trades meanwhile."""
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    p = table(spark, d, "events").select("user_id", "event_id", F.expr("unix_millis(to_utc_timestamp(cast(ts AS timestamp), current_timezone()))").alias("t"), (F.col("value") - 60).alias("pnl"))
+    f = p.withColumn("trip", F.sum("pnl").over(w.rowsBetween(-3, 0)) < -100)
+    last = F.max(F.when(F.col("trip"), F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return f.select("event_id", "trip", F.coalesce(F.col("t") - last < 86_400_000, F.lit(False)).alias("halted"))
