@@ -204,6 +204,42 @@ def adx(rows: int = 42, period: int = 14) -> Column:
     return F.when(n >= 2 * period, told).otherwise(20.0)
 
 
+#: Rows of a symbol that one task takes at least, if it has more.
+SPLIT_ROWS = 1 << 14
+
+
+def split(bars: DataFrame, before: int, after: int, width_ms: int, rows: int | None = None) -> DataFrame:
+    """bars with symbols cut into parts of some `rows` neighbouring rows, each with at least `before` rows that precede and
+    `after` that follow it, where there are so many: functions over frames within that reach give for a part's own rows what
+    they give over the whole symbol, and a symbol with most rows is many tasks. A part's name holds the times of its own
+    rows; whole() keeps these and gives the symbols back. Rows are counted by spans of 24 bars, a small table."""
+    rows = max(rows or SPLIT_ROWS, 4 * max(before, after, 24))
+    by, part = Window.partitionBy("_s").orderBy("_span"), Window.partitionBy("_s", "_part")
+    n = bars.groupBy(F.col("symbol").alias("_s"), _span(width_ms).alias("_span")).agg(F.count("*").alias("_n"))
+    n = n.withColumn("_end", F.sum("_n").over(by)).withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_part", F.floor(F.col("_start") / rows))
+    n = n.withColumn("_first", F.min("_span").over(part)).withColumn("_low", F.min("_start").over(part)).withColumn("_high", F.max("_end").over(part))
+    heads, near = n.select("_s", "_part", "_first").distinct(), Window.partitionBy("_s").orderBy("_first")
+    heads = heads.withColumn("_name", F.concat_ws("#", F.coalesce("_s", F.lit("\0")), "_first", F.coalesce(F.lead("_first").over(near), F.lit(1 << 60))))
+    heads = heads.select(F.col("_s").alias("_hs"), F.col("_part").alias("_hp"), "_name", F.lag("_name").over(near).alias("_before"), F.lead("_name").over(near).alias("_after"))
+    n = n.join(heads, F.col("_s").eqNullSafe(F.col("_hs")) & (F.col("_part") == F.col("_hp")))
+    # the last rows of a part also precede those of the next, and its first rows follow those of the one before
+    also = F.array("_name", F.when(F.col("_high") - F.col("_end") < before, F.col("_after")), F.when(F.col("_start") - F.col("_low") < after, F.col("_before")))
+    n = n.select("_s", "_span", F.filter(also, lambda x: x.isNotNull()).alias("_names"))
+    both = bars.withColumn("_at", _span(width_ms)).join(n, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_span")))
+    return both.select(F.explode("_names").alias("symbol"), *[c for c in bars.columns if c != "symbol"])
+
+
+def _span(width_ms: int) -> Column:
+    return F.floor(F.col("open_ms") / (24 * width_ms))
+
+
+def whole(parts: DataFrame, width_ms: int) -> DataFrame:
+    """The own rows (symbol, open_ms, ...) of what split() made, under their symbols."""
+    name = lambda k: F.regexp_extract("symbol", r"(?s)^(.*)#(-?\d+)#(-?\d+)$", k)
+    own = (_span(width_ms) >= name(2).cast("long")) & (_span(width_ms) < name(3).cast("long"))
+    return parts.where(own).withColumn("symbol", F.when(name(1) != "\0", name(1)))
+
+
 def obv_step() -> Column:
     """On-balance volume's step: the volume with the sign of the change, at first the volume itself."""
     return F.when(lag("close").isNull(), F.col("volume")).otherwise(F.signum(F.col("close") - lag("close")) * F.col("volume"))

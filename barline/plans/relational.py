@@ -38,7 +38,7 @@ def asof_metrics(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("kind"), (millis("o_orderdate") % 2592000000 + 1704067200000).alias("at"))
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("kind"), millis("ts").alias("at"), "value")
     e = e.groupBy("kind", "at").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
-    return joins.as_of(o, e, ["kind"], "at", "at", ["event_id", "value"]).select("o_orderkey", "event_id", R("value").alias("value"))
+    return joins.as_of(o, e, ["kind"], "at", "at", ["event_id", "value"], chunk=24 * HOUR).select("o_orderkey", "event_id", R("value").alias("value"))
 
 
 @query(f"""WITH {HOURLY_SQL}, x AS (SELECT symbol, open_ms, CASE WHEN open_ms // 3600000 % 7 = 0 THEN close END AS metric FROM bars),
@@ -59,7 +59,7 @@ def availability_prior_rates(spark: SparkSession, d: str) -> DataFrame:
     """The share of rises, with a Laplace prior, among the four-bar labels that are known at each bar."""
     b = hourly(spark, d)
     facts = b.select("symbol", I.lead("open_ms", 4).alias("known"), F.when(I.lead("close", 4) > F.col("close"), 1).otherwise(0).alias("up")).where("known IS NOT NULL")
-    told = joins.known_by(b.select("symbol", "open_ms"), facts, ["symbol"], "open_ms", "known", {"n": F.lit(1), "ups": F.col("up")})
+    told = joins.known_by(b.select("symbol", "open_ms"), facts, ["symbol"], "open_ms", "known", {"n": F.lit(1), "ups": F.col("up")}, chunk=96 * HOUR)
     return told.select("symbol", "open_ms", F.col("n").cast("long").alias("n"), R((F.col("ups") + 1) / (F.col("n") + 2)).alias("prior"))
 
 

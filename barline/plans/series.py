@@ -14,9 +14,15 @@ R = lambda c: F.round(c, 6)
 W = "(PARTITION BY symbol ORDER BY open_ms"
 
 
-def query(sql: str):
+def query(sql: str, reach: tuple[int, int] | None = None):
+    """reach: rows before and after that a row's result rests on; symbols are then worked on in parts."""
+
     def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(hourly(spark, folder))
+        def run(spark, folder):
+            b = hourly(spark, folder)
+            return I.whole(f(I.split(b, *reach, HOUR)), HOUR) if reach else f(b)
+
+        QUERIES[f.__name__] = run
         ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {HOURLY_SQL}{sql}"
         return f
 
@@ -39,7 +45,7 @@ def bar_gap_segments(b: DataFrame) -> DataFrame:
 
 
 @query(f""", x AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS m, stddev_pop(close) OVER f AS s FROM bars WINDOW f AS {W} ROWS 19 PRECEDING))
-SELECT symbol, open_ms, CASE WHEN n = 20 THEN round(m, 6) END AS middle, CASE WHEN n = 20 THEN round(m + 2 * s, 6) END AS upper, CASE WHEN n = 20 THEN round(m - 2 * s, 6) END AS lower FROM x""")
+SELECT symbol, open_ms, CASE WHEN n = 20 THEN round(m, 6) END AS middle, CASE WHEN n = 20 THEN round(m + 2 * s, 6) END AS upper, CASE WHEN n = 20 THEN round(m - 2 * s, 6) END AS lower FROM x""", (20, 0))
 def indicator_sma_bollinger(b: DataFrame) -> DataFrame:
     mid, up, low = I.bollinger("close")
     return b.select(*I.KEYS, R(mid).alias("middle"), R(up).alias("upper"), R(low).alias("lower"))
@@ -51,7 +57,7 @@ r AS (SELECT symbol, open_ms, CASE WHEN n = 14 THEN CASE WHEN l = 0 THEN 100 ELS
 
 
 @query(_RSI.replace("avg(greatest(d, 0))", "avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END)").replace("avg(greatest(-d, 0))", "avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END)") + f""", p AS (SELECT *, lag(rsi) OVER {W}) AS before FROM r)
-SELECT symbol, open_ms, round(rsi, 6) AS rsi, CASE WHEN before <= 70 AND rsi > 70 THEN 'over' WHEN before >= 30 AND rsi < 30 THEN 'under' END AS crossing FROM p""")
+SELECT symbol, open_ms, round(rsi, 6) AS rsi, CASE WHEN before <= 70 AND rsi > 70 THEN 'over' WHEN before >= 30 AND rsi < 30 THEN 'under' END AS crossing FROM p""", (16, 0))
 def indicator_rsi_simple(b: DataFrame) -> DataFrame:
     told = I.rsi_simple(b).withColumn("before", I.lag("rsi"))
     crossing = F.when((F.col("before") <= 70) & (F.col("rsi") > 70), "over").when((F.col("before") >= 30) & (F.col("rsi") < 30), "under")
@@ -60,7 +66,7 @@ def indicator_rsi_simple(b: DataFrame) -> DataFrame:
 
 @query(f""", x AS (SELECT symbol, open_ms, list(close) OVER {W} ROWS 59 PRECEDING) AS c FROM bars)
 SELECT symbol, open_ms, CASE WHEN len(c) = 60 THEN round(list_reduce(c, lambda e, v: e + CAST(2 AS DOUBLE) / 13 * (v - e)), 6) END AS ema12,
-  CASE WHEN len(c) = 60 THEN round(list_reduce(c, lambda e, v: e + CAST(2 AS DOUBLE) / 27 * (v - e)), 6) END AS ema26 FROM x""")
+  CASE WHEN len(c) = 60 THEN round(list_reduce(c, lambda e, v: e + CAST(2 AS DOUBLE) / 27 * (v - e)), 6) END AS ema26 FROM x""", (60, 0))
 def indicator_ema_finite(b: DataFrame) -> DataFrame:
     return b.select(*I.KEYS, R(I.ema_finite("close", 12)).alias("ema12"), R(I.ema_finite("close", 26)).alias("ema26"))
 
@@ -82,7 +88,7 @@ def indicator_rsi_wilder(b: DataFrame) -> DataFrame:
 
 
 @query(f""", t AS (SELECT *, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM bars WINDOW w AS {W}))
-SELECT symbol, open_ms, round(tr, 6) AS true_range, CASE WHEN count(tr) OVER f = 14 THEN round(avg(tr) OVER f, 6) END AS atr14 FROM t WINDOW f AS {W} ROWS 13 PRECEDING)""")
+SELECT symbol, open_ms, round(tr, 6) AS true_range, CASE WHEN count(tr) OVER f = 14 THEN round(avg(tr) OVER f, 6) END AS atr14 FROM t WINDOW f AS {W} ROWS 13 PRECEDING)""", (16, 0))
 def indicator_atr_true_range(b: DataFrame) -> DataFrame:
     return b.withColumn("tr", I.true_range()).select(*I.KEYS, R("tr").alias("true_range"), R(I.sma("tr", 14)).alias("atr14"))
 
@@ -105,7 +111,7 @@ def indicator_vwap(b: DataFrame) -> DataFrame:
 @query(f""", x AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS m, stddev_samp(close) OVER f AS s, lag(close) OVER w AS c1, lag(close, 4) OVER w AS c4, lag(close, 5) OVER w AS c5
   FROM bars WINDOW f AS {W} ROWS 19 PRECEDING), w AS {W}))
 SELECT symbol, open_ms, CASE WHEN n = 20 AND s > 0 THEN round((close - m) / s, 6) END AS zscore, CASE WHEN n = 20 AND m <> 0 THEN round(close / m, 6) END AS ratio,
-  CASE WHEN c1 <> 0 THEN round((close - c1) / c1 * 100, 6) END AS return1, CASE WHEN c4 <> 0 THEN round((close - c4) / c4 * 100, 6) END AS return4, round((close - c5) / 5, 6) AS slope5 FROM x""")
+  CASE WHEN c1 <> 0 THEN round((close - c1) / c1 * 100, 6) END AS return1, CASE WHEN c4 <> 0 THEN round((close - c4) / c4 * 100, 6) END AS return4, round((close - c5) / 5, 6) AS slope5 FROM x""", (20, 0))
 def feature_zscore_ratio(b: DataFrame) -> DataFrame:
     m, s = I.sma("close", 20), I.full(F.stddev_samp("close").over(I.frame(-19, 0)), "close", 20)
     x = b.withColumn("m", m).withColumn("s", s).withColumn("c1", I.lag("close")).withColumn("c4", I.lag("close", 4)).withColumn("c5", I.lag("close", 5))
@@ -137,7 +143,7 @@ def feature_time_cyclic(b: DataFrame) -> DataFrame:
 @query(f""", x AS (SELECT *, lead(close) OVER w AS c1, lead(close, 4) OVER w AS c4 FROM bars WINDOW w AS {W})),
 y AS (SELECT symbol, open_ms, CASE WHEN close <> 0 THEN (c1 - close) / close * 100 END AS r1, CASE WHEN close <> 0 THEN (c4 - close) / close * 100 END AS r4 FROM x)
 SELECT symbol, open_ms, round(r1, 6) AS return_1h, CASE WHEN r1 IS NULL THEN NULL WHEN r1 > 0.3 THEN 1 WHEN r1 < -0.3 THEN -1 ELSE 0 END AS direction_1h,
-  round(r4, 6) AS return_4h, CASE WHEN r4 IS NULL THEN NULL WHEN r4 > 0.6 THEN 1 WHEN r4 < -0.6 THEN -1 ELSE 0 END AS direction_4h FROM y""")
+  round(r4, 6) AS return_4h, CASE WHEN r4 IS NULL THEN NULL WHEN r4 > 0.6 THEN 1 WHEN r4 < -0.6 THEN -1 ELSE 0 END AS direction_4h FROM y""", (0, 4))
 def targets_forward_direction(b: DataFrame) -> DataFrame:
     x = b
     for n in (1, 4):
@@ -147,7 +153,7 @@ def targets_forward_direction(b: DataFrame) -> DataFrame:
 
 
 @query(f""", x AS (SELECT symbol, open_ms, flatten(list([open, high, low, close]) OVER f) AS v, min(open_ms) OVER f AS first_ms, count(*) OVER f AS n FROM bars WINDOW f AS {W} ROWS 4 PRECEDING))
-SELECT symbol, open_ms, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS total, round(v[1], 6) AS first_open FROM x WHERE n = 5 AND open_ms - first_ms = 14400000""")
+SELECT symbol, open_ms, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS total, round(v[1], 6) AS first_open FROM x WHERE n = 5 AND open_ms - first_ms = 14400000""", (5, 0))
 def windows_flattened(b: DataFrame) -> DataFrame:
     """Five contiguous bars as one vector of their columns."""
     v = I.frame(-4, 0)
@@ -164,7 +170,7 @@ ctx AS (SELECT symbol, open_ms, open, high, low, close, volume, quote, CASE WHEN
   CASE WHEN many < 10 OR r IS NULL THEN 'unknown' WHEN r >= 1.5 * prior THEN 'high' WHEN r <= 0.67 * prior THEN 'low' ELSE 'normal' END AS volatility FROM k1)"""
 
 
-@query(CONTEXT_SQL + " SELECT symbol, open_ms, trend, volatility FROM ctx")
+@query(CONTEXT_SQL + " SELECT symbol, open_ms, trend, volatility FROM ctx", (24, 0))
 def context_trend_volatility(b: DataFrame) -> DataFrame:
     return I.contexts(b).select(*I.KEYS, "trend", "volatility")
 
@@ -179,7 +185,7 @@ ev AS (
   UNION ALL SELECT symbol, open_ms, 'marketRegime', 'REGIME_' || CASE trend WHEN 'up' THEN 'BULL' WHEN 'down' THEN 'BEAR' ELSE 'SIDEWAYS' END || '_' || upper(volatility) FROM e1 WHERE i > 11 AND (trend <> pt OR volatility <> pvol))"""
 
 
-@query(EVENTS_SQL + " SELECT * FROM ev")
+@query(EVENTS_SQL + " SELECT * FROM ev", (60, 0))
 def events_cross_anomaly_regime(b: DataFrame) -> DataFrame:
     return events.causal(b).select("symbol", "open_ms", "module", "event_type")
 
@@ -195,7 +201,7 @@ def events_pivots_legs(b: DataFrame) -> DataFrame:
 
 @query(f""", x AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0, min(low) OVER f AS lo, max(high) OVER f AS hi FROM bars WINDOW w AS {W}), f AS {W} ROWS BETWEEN 1 FOLLOWING AND 99 FOLLOWING))
 SELECT symbol, open_ms, CASE WHEN h0 < low THEN 'bullish' ELSE 'bearish' END AS kind, round(CASE WHEN h0 < low THEN h0 ELSE high END, 6) AS gap_low, round(CASE WHEN h0 < low THEN low ELSE l0 END, 6) AS gap_high,
-  coalesce(CASE WHEN h0 < low THEN lo <= h0 ELSE hi >= l0 END, false) AS mitigated FROM x WHERE h0 < low OR l0 > high""")
+  coalesce(CASE WHEN h0 < low THEN lo <= h0 ELSE hi >= l0 END, false) AS mitigated FROM x WHERE h0 < low OR l0 > high""", (2, 99))
 def events_fvg_mitigation(b: DataFrame) -> DataFrame:
     return events.gaps(b).select("symbol", "open_ms", "kind", R("gap_low").alias("gap_low"), R("gap_high").alias("gap_high"), "mitigated")
 
@@ -211,7 +217,7 @@ def events_bos_choch(b: DataFrame) -> DataFrame:
     return events.structure(b).select("symbol", "open_ms", "way", "event_type", R("price").alias("price"))
 
 
-@query(CONTEXT_SQL + patterns.SINGLE_SQL + " SELECT symbol, open_ms, shape, pattern1, pattern2, pattern3 FROM pat WHERE shape IS NOT NULL OR pattern1 IS NOT NULL OR pattern2 IS NOT NULL OR pattern3 IS NOT NULL")
+@query(CONTEXT_SQL + patterns.SINGLE_SQL + " SELECT symbol, open_ms, shape, pattern1, pattern2, pattern3 FROM pat WHERE shape IS NOT NULL OR pattern1 IS NOT NULL OR pattern2 IS NOT NULL OR pattern3 IS NOT NULL", (24, 4))
 def patterns_candles(b: DataFrame) -> DataFrame:
     return patterns.recognise(I.contexts(b)).select("symbol", "open_ms", "shape", "pattern1", "pattern2", "pattern3").where("coalesce(shape, pattern1, pattern2, pattern3) IS NOT NULL")
 
@@ -230,7 +236,7 @@ h1 AS (SELECT symbol, open_ms, h, close, lead(close, h) OVER w AS c, max(high) O
 fwd AS (SELECT symbol, open_ms, CAST(h AS INTEGER) AS horizon, c / close - 1 AS forward_return, hi / close - 1 AS mfe, lo / close - 1 AS mae FROM h1 WHERE c IS NOT NULL AND close <> 0)"""
 
 
-@query(HORIZON_SQL + " SELECT symbol, open_ms, horizon, round(forward_return, 6) AS forward_return, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM fwd")
+@query(HORIZON_SQL + " SELECT symbol, open_ms, horizon, round(forward_return, 6) AS forward_return, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM fwd", (0, 6))
 def forward_horizon_mfe_mae(b: DataFrame) -> DataFrame:
     return events.horizons(b).select("symbol", "open_ms", "horizon", R("forward_return").alias("forward_return"), R("mfe").alias("mfe"), R("mae").alias("mae"))
 

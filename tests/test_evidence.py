@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import indicators as I
 from barline.operators import joins, modules, simulate, stats
-from barline.plans import audits, evidence, sequential
+from barline.plans import audits, evidence, sequential, series
 from barline.sources import sinks
 
 HOUR = 3_600_000
@@ -185,3 +185,35 @@ def test_streams_do_not_depend_on_the_layout_of_files(spark, tmp_path):
 def test_results_without_sql_are_sound(spark, name):
     rows = sequential.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(v is None or v == v for r in rows for v in r)
+
+
+SPLIT = "indicator_sma_bollinger indicator_rsi_simple indicator_ema_finite indicator_atr_true_range feature_zscore_ratio targets_forward_direction windows_flattened context_trend_volatility events_cross_anomaly_regime events_fvg_mitigation patterns_candles forward_horizon_mfe_mae"
+
+
+@pytest.mark.parametrize("name", SPLIT.split())
+def test_parts_of_symbols_give_what_whole_symbols_give(spark, monkeypatch, name):
+    run = lambda: sorted(map(str, series.QUERIES[name](spark, "/root/testdata/sf0.01").collect()))
+    want = run()
+    monkeypatch.setattr(I, "SPLIT_ROWS", 1)
+    assert run() == want
+
+
+def test_parts_are_many_and_reach_far_enough(spark):
+    bars = spark.createDataFrame([("a#b", i * HOUR, i) for i in range(1000) if i % 97] + [("c", 5 * HOUR, 1), (None, 0, 1)], "symbol string, open_ms long, close long")
+    parts = I.split(bars, 30, 7, HOUR, 1).cache()
+    assert parts.select("symbol").distinct().count() > 8 and sorted(map(str, I.whole(parts, HOUR).collect())) == sorted(map(str, bars.collect()))
+    seen = I.whole(parts.withColumn("n", F.count("*").over(I.frame(-30, 7))), HOUR)
+    want = bars.withColumn("n", F.count("*").over(I.frame(-30, 7)))
+    assert sorted(map(str, seen.collect())) == sorted(map(str, want.collect()))
+
+
+def test_spans_change_no_as_of_join(spark):
+    rng = random.Random(2)
+    left = spark.createDataFrame([(i, rng.choice([1, 2, None]), rng.randrange(200)) for i in range(150)], "id int, k int, t int")
+    right = spark.createDataFrame([(rng.choice([1, 2, None]), t, float(t)) for t in rng.sample(range(200), 60)], "k int, s int, v double")
+    for strict in (False, True):
+        for chunk in (1, 7, 1000):
+            got, want = (sorted(map(str, joins.as_of(left, right, ["k"], "t", "s", ["v"], strict, chunk=c).collect())) for c in (chunk, None))
+            assert got == want
+            got, want = (sorted(map(str, joins.known_by(left, right, ["k"], "t", "s", {"n": F.lit(1), "x": F.col("v")}, strict, c).select("id", F.coalesce("n", F.lit(0.0)), F.coalesce("x", F.lit(0.0))).collect())) for c in (chunk, None))
+            assert got == want
