@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, in a local session only, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="barline-"))
 
 
