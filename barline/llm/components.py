@@ -13,8 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Randomised contraction: in each round every node follows its neighbour (or itself) of least hash, where the hash
     changes with the round, so that a constant share of the nodes goes whatever the order of the ids. The links and the
-    node-to-root table are written after every round; only row counts reach the driver. A node of high degree costs no
-    task more than its share, as each round only takes minima, which are combined before the shuffle.
+    node-to-root table are written after every round; only row counts reach the driver. Of a node of high degree each round
+    takes minima, which are combined before the shuffle; where its links meet its one row they are the many side of a plain
+    equi-join, whose skewed partitions adaptive execution splits.
 
     Self links only name nodes; null ends are ignored; repeated and reversed links count once; no links give no rows.
     """

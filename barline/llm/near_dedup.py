@@ -6,7 +6,7 @@ reaches the threshold falls under `miss`. Survivors are verified on the full shi
 
 Survivors are verified where their bucket is, on the full shingle sets, which come along for classes that share a bucket
 with another. Only links that join something new leave the task, fewer than it has members. Buckets with the same members
-are looked at once. A bucket of more than BLOCK classes is dealt out: first each block by itself and with the first block;
+are looked at once. A bucket of more than BLOCK classes, or of more shingles than a block's, is dealt out: first each block by itself and with the first block;
 then, where its members are not yet one component, all pairs of blocks, but only classes of different components.
 """
 
@@ -32,8 +32,8 @@ LOW_BANDS, LOW_ROWS = 31, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time.
 BATCH = 26
-#: Classes in a block.
-BLOCK = 1024
+#: Classes in a block, and shingles of all of them, about: a task holds the sets of two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Posterior probability under which a pair is pruned.
 MISS = 1e-7
 
@@ -217,9 +217,9 @@ def _links(floor: list[int], percent: int):
 
 
 def _compare(members: DataFrame, sets: DataFrame, floor: list[int], percent: int, every: bool) -> DataFrame:
-    """Links (a, b) among members (bucket, n, rep, label). Of buckets of over BLOCK rows either the blocks by themselves and
-    with the first block, or (every) all pairs of blocks."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    """Links (a, b) among members (bucket, blocks, rep, label). Of buckets of several blocks either the blocks by themselves
+    and with the first block, or (every) all pairs of blocks."""
+    blocks = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     all_ = F.sequence(F.lit(0), F.col("blocks") - 1)
     partners = all_ if every else F.when(F.col("mine") == 0, all_).otherwise(F.array(F.lit(0), F.col("mine")))
     dealt = blocks.withColumn("other", F.explode(partners)).select(
@@ -255,22 +255,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = cut(docs.mapInArrow(tidy(_describe(percent)), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "described")
     some = told.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+    classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.max("n_shingles").alias("size")).select("set_key", F.col("m.doc_id").alias("rep"), "size", F.col("m.bands").alias("bands"))
     classes = cut(classes, "classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    banded = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y")
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y")
     )
-    buckets = buckets.where("n > 1").groupBy("n", "least", "most", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = cut(banded.join(cut(buckets, "buckets"), "bucket"), "members")
+    dealt = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.where("n > 1").groupBy("n", "size", "least", "most", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", dealt.alias("blocks"))
+    members = cut(banded.drop("size").join(cut(buckets, "buckets"), "bucket"), "members")
     ends = cut(members.select("rep").distinct(), "ends")
     sets = cut(_texts_of(docs, ends).mapInArrow(tidy(_sets), "rep long, shingles binary, sig binary").dropDuplicates(["rep"]), "sets")
     floor = least_matches(percent / 100, miss)
     links = cut(_compare(members.withColumn("label", F.col("rep")), sets, floor, percent, False), "links")
     roots = cut(components(links), "roots")
-    large = members.where(F.col("n") > BLOCK)
+    large = members.where("blocks > 1")
     if large.limit(1).count():
-        labelled = large.join(roots, large["rep"] == roots["node"], "left").select("bucket", "n", "rep", F.coalesce("component_id", "rep").alias("label"))
+        labelled = large.join(roots, large["rep"] == roots["node"], "left").select("bucket", "blocks", "rep", F.coalesce("component_id", "rep").alias("label"))
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
         more = cut(_compare(labelled.join(open_, "bucket", "left_semi"), sets, floor, percent, True), "links")
         roots = cut(components(links.union(more)), "roots")

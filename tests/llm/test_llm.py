@@ -79,8 +79,9 @@ def test_pipeline_links_from_four_fifths_up(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()) == want
 
 
-def test_large_buckets_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@pytest.mark.parametrize("most, value", [("BLOCK", 8), ("BLOCK_SHINGLES", 1000)])
+def test_large_buckets_are_dealt_out(spark, monkeypatch, most, value):
+    monkeypatch.setattr(near_dedup, most, value)
     base = prose(1, 150).split()
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 140, 3)]
     _, want = plain_components(texts)
@@ -383,6 +384,49 @@ def test_image_copies(spark):
     assert got == {**{i: i for i in range(20)}, 100: 0, 101: 1, 102: 2, 103: 3, 200: 200, 201: 201, 202: 202, None: None}
 
 
+def test_held_out_languages_and_qualities(spark):
+    """On rows that nothing was learned from, with the defaults of the queries."""
+    from barline.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = ({r["doc_id"]: r for r in spark.read.parquet(f"{folder}/{t}.parquet").collect()} for t in ("documents", "labels"))
+    told = [r for r in queries.op4_language_id(spark, folder).collect() if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert len(told) > 100 and sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in told) >= 0.97 * len(told)
+    scored = [(r["score"], labels[r["doc_id"]]["quality"], r["predicted"]) for r in queries.op9_quality(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for s, y, _ in scored if y == 1], [s for s, y, _ in scored if y == 0]
+    assert good and bad and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)
+    assert sum(p == y for _, y, p in scored) >= 0.85 * len(scored)
+
+
+def test_classifiers_on_repeats_clashes_and_nothing(spark):
+    texts = [prose(i, 30) for i in range(40)]
+    docs = table(spark, texts + texts[:5], [*range(40), *range(5)]).withColumn("score", F.lit(9)).withColumn("lang_pred", F.lit("own")).withColumn("x", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    told = langid.language_id(docs, steps=5)
+    assert told.count() == 45 and told.where("lang_pred = 'own' OR score = 9").count() == 0 and langid.language_id(docs.where("false"), steps=5).count() == 0
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == 45 and all(len({r["score"] for r in got if r["doc_id"] == i}) == 1 for i in range(5))
+    assert quality.quality(docs.where("false"), labels).count() == 0 and {r["score"] for r in quality.quality(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_removed_spans_against_a_plain_version(spark):
+    """Every chunk of every document in the order of ids, by one dictionary."""
+    rng = random.Random(12)
+    parts = [prose(700 + k, rng.randrange(5, 60)) for k in range(12)]
+    texts = [" ".join(rng.choice([rng.choice(parts), prose(2000 + i * 7 + k, 20)]) for k in range(rng.randrange(1, 7))) for i in range(80)] + [None, "", parts[0] * 40]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        data, runs = (t or "").encode(), []
+        starts = substring.cuts(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist()
+        for x, y in zip(starts, [*starts[1:], len(data)]):
+            if data[x:y] in seen:
+                runs = [*runs[:-1], [runs[-1][0], y]] if runs and runs[-1][1] == x else [*runs, [x, y]]
+            seen.add(data[x:y])
+        want[i] = [(x, y) for x, y in runs if y - x >= substring.LEAST_RUN]
+    got = {r["doc_id"]: [(x["start"], x["stop"]) for x in r["removed"]] for r in substring.substring_dedup(table(spark, texts)).collect()}
+    assert got == want and sum(map(bool, want.values())) > 20
+
+
 def resized(p, f):
     """By bilinear sampling, after a blur if smaller."""
     x = media._blur(p.astype(float)) if f < 1 else p.astype(float)
