@@ -345,7 +345,7 @@ SELECT a.module AS a, b.module AS b, count(*) AS both_, round(count(*) / ((SELEC
 FROM t a JOIN t b ON a.symbol = b.symbol AND a.open_ms = b.open_ms AND a.module < b.module GROUP BY a.module, b.module""")
 def module_overlap_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """How often modules speak at the same close: pairs come from each close's set of modules, not from a join."""
-    t = events.causal(hourly(spark, d)).select("module", "symbol", "open_ms").distinct()
+    t = I.whole(events.causal(I.split(hourly(spark, d), 60, 0, HOUR)), HOUR).select("module", "symbol", "open_ms").distinct()
     sizes = F.broadcast(t.groupBy("module").agg(F.count("*").alias("k")))  # a row a module
     sets = t.groupBy("symbol", "open_ms").agg(F.array_sort(F.collect_set("module")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -402,7 +402,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {HOURLY_SQL}{HORIZON_SQL} SELECT symbol, horizon, count(*) AS n, round(quantile_cont(forward_return, 0.05), 6) AS p5, round(quantile_cont(forward_return, 0.25), 6) AS p25, round(quantile_cont(forward_return, 0.75), 6) AS p75, round(quantile_cont(forward_return, 0.95), 6) AS p95,
   round(avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0 END), 6) AS up FROM fwd GROUP BY symbol, horizon""")
 def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
-    x = events.horizons(hourly(spark, d))
+    x = I.whole(events.horizons(I.split(hourly(spark, d), 0, 6, HOUR)), HOUR)
     p = F.percentile("forward_return", F.array(*[F.lit(v) for v in (0.05, 0.25, 0.75, 0.95)]))
     g = x.groupBy("symbol", "horizon").agg(F.count("*").alias("n"), p.alias("p"), R(F.avg(F.when(F.col("forward_return") > 0, 1.0).otherwise(0.0))).alias("up"))
     return g.select("symbol", "horizon", "n", *[R(F.col("p")[i]).alias(k) for i, k in enumerate(("p5", "p25", "p75", "p95"))], "up")

@@ -247,8 +247,9 @@ FROM (SELECT e.*, h.h AS horizon, f.forward_return FROM ev e CROSS JOIN (SELECT
 GROUP BY GROUPING SETS ((module, event_type, horizon), (module, horizon), (horizon))""")
 def event_group_profiles(b: DataFrame) -> DataFrame:
     """What followed each kind of event, by type, by module and over all: nothing is dropped, missing outcomes are counted."""
-    ev = events.causal(b).select("symbol", "open_ms", "module", "event_type", F.explode(F.array(F.lit(1), F.lit(3), F.lit(6))).alias("horizon"))
-    both = ev.join(events.horizons(b), ["symbol", "open_ms", "horizon"], "left")
+    b = I.split(b, 60, 6, HOUR)
+    ev = I.whole(events.causal(b), HOUR).select("symbol", "open_ms", "module", "event_type", F.explode(F.array(F.lit(1), F.lit(3), F.lit(6))).alias("horizon"))
+    both = ev.join(I.whole(events.horizons(b), HOUR), ["symbol", "open_ms", "horizon"], "left")
     x = F.col("forward_return")
     sets = both.groupingSets([("module", "event_type", "horizon"), ("module", "horizon"), ("horizon",)], "module", "event_type", "horizon")
     return sets.agg(F.count("*").alias("stored"), F.count(x).alias("eligible"), R(F.avg(x)).alias("mean"), R(F.percentile(x, 0.5)).alias("median"), R(F.min(x)).alias("least"), R(F.max(x)).alias("most"), F.count_if(x > 0).alias("positive"))
