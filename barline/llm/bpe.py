@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 
 from barline.llm.scratch import tidy
 
-#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is thinned out or full: about 150 MB
+#: Entries at which a memory of text units, of pieces, of token pairs and of transitions is thinned out or full: about 200 MB
 #: together, held by a task until it ends. More transitions only take more memory: rare ones are as fast worked out anew.
-UNITS, PIECES, PAIRS, MOVES = 200_000, 150_000, 150_000, 40_000
+UNITS, PIECES, PAIRS, MOVES = 500_000, 400_000, 200_000, 60_000
 #: Characters of texts that are encoded together.
-RUN = 1 << 20
+RUN = 1 << 21
 #: Above every rank.
 NEVER = 1 << 60
 

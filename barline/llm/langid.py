@@ -213,8 +213,11 @@ def sample(docs: DataFrame) -> tuple[list[str], list[int], list[str]]:
     may = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     piece = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {TRAIN_CHARS})) AS int), {TRAIN_CHARS})")
     rows = may.select("lang", "doc_id", piece.alias("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= TRAIN_DOCS).orderBy("lang", "place").collect()
+    order = (F.xxhash64("doc_id"), "doc_id", "text")
+    # what all tasks have kept of a language meets in shares first
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("place") <= TRAIN_DOCS)
+    chosen = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= TRAIN_DOCS).orderBy("lang", "place").collect()
     names = sorted({r["lang"] for r in chosen})
     number = {x: k for k, x in enumerate(names)}
     chosen.sort(key=lambda r: (r["place"], r["lang"]))
