@@ -313,8 +313,8 @@ def rule_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DAILY_SQL}, l AS (SELECT *, CASE WHEN lead(close, 4) OVER {D}) > close THEN 1 ELSE 0 END AS up, lead(close, 4) OVER {D}) AS c4, row_number() OVER {D}) AS i FROM daily),
-k AS (SELECT symbol, day, i, avg(up) OVER e AS prior, count(up) OVER e AS n, avg(up) OVER f AS recent FROM l WINDOW e AS {D} ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING), f AS {D} ROWS BETWEEN 53 PRECEDING AND 4 PRECEDING))
-SELECT symbol, day, round((prior * n + 1) / (n + 2), 6) AS expanding, round(recent, 6) AS last50, CASE WHEN prior > 0.5 THEN 0.8 WHEN prior < 0.5 THEN 0.2 ELSE 0.5 END AS majority FROM k WHERE n > 0""")
+k AS (SELECT symbol, day, i, CAST(sum(up) OVER e AS DOUBLE) AS s, count(up) OVER e AS n, avg(up) OVER f AS recent FROM l WINDOW e AS {D} ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING), f AS {D} ROWS BETWEEN 53 PRECEDING AND 4 PRECEDING))
+SELECT symbol, day, round((s + 1) / (n + 2), 6) AS expanding, round(recent, 6) AS last50, CASE WHEN s / n > 0.5 THEN 0.8 WHEN s / n < 0.5 THEN 0.2 ELSE 0.5 END AS majority FROM k WHERE n > 0""")
 def baseline_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """The chance of a rise by all labels known, by the last fifty of them, and by their majority."""
     w = _by_day()

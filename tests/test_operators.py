@@ -175,7 +175,7 @@ def test_streams_count_every_event_whatever_the_files(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     run = lambda name: sequential.QUERIES[name](spark, str(tmp_path))
     bars = run("stream_tumbling_watermark")
-    assert bars.agg(F.sum("n")).first()[0] == n and bars.where("year(start) > 8000").count() == 0
+    assert bars.agg(F.sum("n")).first()[0] == n and bars.where("start > 190000000000000").count() == 0
     assert run("stream_sessions").agg(F.sum("n")).first()[0] == events.select("event_id").distinct().count()
     d, q = events.where("event_id % 10 = 0").alias("d"), events.where("event_id % 10 <> 0").alias("q")
     met = d.join(q, F.expr("d.event_type = q.event_type AND q.ts > d.ts AND q.ts <= d.ts + INTERVAL 15 minutes"))
@@ -184,7 +184,7 @@ def test_streams_count_every_event_whatever_the_files(spark, tmp_path):
 
 def test_queries_of_repeated_ids_all_count(spark, tmp_path):
     rng = np.random.default_rng(8)
-    rows = [(i, [float(v) for v in rng.normal(0, 1, 4)], 0) for i in [*range(5), *range(5), *range(5, 12)]]
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 4)], 0) for i in [*range(95, 105), *range(98, 102), 200, *range(5)]]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
