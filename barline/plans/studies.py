@@ -234,7 +234,7 @@ def calendar_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DAILY_SQL}, r AS (SELECT *, close / lag(close) OVER {D}) - 1 AS r, avg(close) OVER {D} ROWS 199 PRECEDING) AS ma, count(*) OVER {D} ROWS 199 PRECEDING) AS n FROM daily),
 v AS (SELECT *, stddev_samp(r) OVER {D} ROWS 59 PRECEDING) AS sd, count(r) OVER {D} ROWS 59 PRECEDING) AS nr FROM r)
-SELECT symbol, day, CASE WHEN n = 200 THEN CASE WHEN close > ma THEN 1.0 ELSE 0.0 END END AS trend_exposure, CASE WHEN nr = 60 AND sd > 0 THEN round(least(1.0, 0.15 / (sd * sqrt(252))), 6) END AS vol_exposure FROM v""")
+SELECT symbol, day, CAST(CASE WHEN n = 200 THEN CASE WHEN close > ma THEN 1 ELSE 0 END END AS DOUBLE) AS trend_exposure, CASE WHEN nr = 60 AND sd > 0 THEN round(least(1.0, 0.15 / (sd * sqrt(252))), 6) END AS vol_exposure FROM v""")
 def exposure_overlays(spark: SparkSession, d: str) -> DataFrame:
     """Exposure from 0 to 1: over the mean of 200 sessions or not, and what brings 60 sessions' volatility to 15 %."""
     w = _by_day()
@@ -314,7 +314,7 @@ def rule_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DAILY_SQL}, l AS (SELECT *, CASE WHEN lead(close, 4) OVER {D}) > close THEN 1 ELSE 0 END AS up, lead(close, 4) OVER {D}) AS c4, row_number() OVER {D}) AS i FROM daily),
 k AS (SELECT symbol, day, i, CAST(sum(up) OVER e AS DOUBLE) AS s, count(up) OVER e AS n, avg(up) OVER f AS recent FROM l WINDOW e AS {D} ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING), f AS {D} ROWS BETWEEN 53 PRECEDING AND 4 PRECEDING))
-SELECT symbol, day, round((s + 1) / (n + 2), 6) AS expanding, round(recent, 6) AS last50, CASE WHEN s / n > 0.5 THEN 0.8 WHEN s / n < 0.5 THEN 0.2 ELSE 0.5 END AS majority FROM k WHERE n > 0""")
+SELECT symbol, day, round((s + 1) / (n + 2), 6) AS expanding, round(recent, 6) AS last50, CAST(CASE WHEN s / n > 0.5 THEN 0.8 WHEN s / n < 0.5 THEN 0.2 ELSE 0.5 END AS DOUBLE) AS majority FROM k WHERE n > 0""")
 def baseline_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """The chance of a rise by all labels known, by the last fifty of them, and by their majority."""
     w = _by_day()
