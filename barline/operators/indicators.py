@@ -214,16 +214,23 @@ def split(bars: DataFrame, before: int, after: int, width_ms: int, rows: int | N
     they give over the whole symbol, and a symbol with most rows is many tasks. A part's name holds the times of its own
     rows; whole() keeps these and gives the symbols back. Rows are counted by spans of 24 bars, a small table."""
     rows = max(rows or SPLIT_ROWS, 4 * max(before, after, 24))
-    by, part = Window.partitionBy("_s").orderBy("_span"), Window.partitionBy("_s", "_part")
+    by = Window.partitionBy("_s").orderBy("_span")  # the only order that is needed, so one sort
+    sofar, later = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
     n = bars.groupBy(F.col("symbol").alias("_s"), _span(width_ms).alias("_span")).agg(F.count("*").alias("_n"))
     n = n.withColumn("_end", F.sum("_n").over(by)).withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_part", F.floor(F.col("_start") / rows))
-    n = n.withColumn("_first", F.min("_span").over(part)).withColumn("_low", F.min("_start").over(part)).withColumn("_high", F.max("_end").over(part))
-    heads, near = n.select("_s", "_part", "_first").distinct(), Window.partitionBy("_s").orderBy("_first")
-    heads = heads.withColumn("_name", F.concat_ws("#", F.coalesce("_s", F.lit("\0")), "_first", F.coalesce(F.lead("_first").over(near), F.lit(1 << 60))))
-    heads = heads.select(F.col("_s").alias("_hs"), F.col("_part").alias("_hp"), "_name", F.lag("_name").over(near).alias("_before"), F.lead("_name").over(near).alias("_after"))
-    n = n.join(heads, F.col("_s").eqNullSafe(F.col("_hs")) & (F.col("_part") == F.col("_hp")))
+    head = F.lag("_part").over(by).isNull() | (F.lag("_part").over(by) != F.col("_part"))
+    n = n.withColumn("_head", F.when(head, F.struct(F.col("_span").alias("first"), F.col("_start").alias("low"))))
+    # a part's first span and row, those of the next part, and of the one after that and the one before: places only grow
+    n = n.withColumn("_own", F.max("_head").over(sofar)).withColumn("_next", F.min("_head").over(later))
+    n = n.withColumn("_stop", F.coalesce("_next.first", F.lit(1 << 60))).withColumn("_then", F.min(F.when(F.col("_head").isNotNull(), F.col("_stop"))).over(later))
+    n = n.withColumn("_last", F.max(F.when(F.col("_head").isNotNull(), F.lag("_own.first").over(by))).over(sofar))
+    name = lambda first, stop: F.concat_ws("#", F.coalesce("_s", F.lit("\0")), first, stop)
     # the last rows of a part also precede those of the next, and its first rows follow those of the one before
-    also = F.array("_name", F.when(F.col("_high") - F.col("_end") < before, F.col("_after")), F.when(F.col("_start") - F.col("_low") < after, F.col("_before")))
+    also = F.array(
+        name(F.col("_own.first"), F.col("_stop")),
+        F.when(F.col("_next.low") - F.col("_end") < before, name(F.col("_next.first"), F.col("_then"))),
+        F.when(F.col("_last").isNotNull() & (F.col("_start") - F.col("_own.low") < after), name(F.col("_last"), F.col("_own.first"))),
+    )
     n = n.select("_s", "_span", F.filter(also, lambda x: x.isNotNull()).alias("_names"))
     both = bars.withColumn("_at", _span(width_ms)).join(n, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_span")))
     return both.select(F.explode("_names").alias("symbol"), *[c for c in bars.columns if c != "symbol"])
