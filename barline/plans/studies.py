@@ -11,6 +11,8 @@ from barline.sources.tables import DAILY_SQL, FOUR_SQL, HOUR, daily_prices, four
 
 QUERIES, ORACLE_SQL = {}, {}
 R = lambda c: F.round(c, 6)
+#: As SQL rounds: the double times 1e6 decides, not its decimals (323 / 640, printed 0.5046875, lies below the half).
+BINARY = lambda c: F.round(c * 1e6) / 1e6
 W = "(PARTITION BY symbol ORDER BY open_ms"
 D = "(PARTITION BY symbol ORDER BY day"
 
@@ -323,4 +325,4 @@ def baseline_forecasts(spark: SparkSession, d: str) -> DataFrame:
     e, f = w.rowsBetween(Window.unboundedPreceding, -4), w.rowsBetween(-53, -4)
     k = l.withColumn("s", F.sum("up").over(e)).withColumn("n", F.count("up").over(e)).withColumn("recent", F.avg("up").over(f)).where("n > 0")
     prior = F.col("s") / F.col("n")
-    return k.select("symbol", "day", R((F.col("s") + 1) / (F.col("n") + 2)).alias("expanding"), R("recent").alias("last50"), F.when(prior > 0.5, 0.8).when(prior < 0.5, 0.2).otherwise(0.5).alias("majority"))
+    return k.select("symbol", "day", BINARY((F.col("s") + 1) / (F.col("n") + 2)).alias("expanding"), BINARY(F.col("recent")).alias("last50"), F.when(prior > 0.5, 0.8).when(prior < 0.5, 0.2).otherwise(0.5).alias("majority"))
