@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,28 +136,87 @@ def expected_best(trials: Column, spread: Column) -> Column:
     return F.when(trials > 1, spread * ((1 - euler) * normal_quantile(1 - 1 / trials) + euler * normal_quantile(1 - 1 / (trials * 2.718281828459045)))).otherwise(0.0)
 
 
+#: Places of a group's values that a task holds, and draws that it makes at a time.
+SPAN, DRAWS = 1 << 14, 1 << 17
+
+
+def _draws(by: list[str], span: int, seed: int):
+    """Rows (by, sample, _slice, _n, _b, _starts), sorted by sample and slice, to rows (by, _chunk, sample, _len, _at): the
+    starts of a slice's blocks, packed by the chunk of places that they lie in and their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, drawn = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for i, row in enumerate(batch.select(["sample", "_slice", "_n", "_b", "_starts"]).to_pylist()):
+                sample, first, n, b = row["sample"], row["_slice"] * DRAWS, row["_n"], row["_b"]
+                whole = -(-n // b)
+                many = min(DRAWS, whole - first)
+                if of != (sample, first):
+                    of, drawn = (sample, first), drawn[:0]
+                if len(drawn) < many:  # the groups share their hashes
+                    head = f"{seed}:{sample}:".encode()
+                    more = b"".join(md5(b"%b%d" % (head, k)).digest()[:4] for k in range(first + len(drawn), first + many))
+                    drawn = np.append(drawn, np.frombuffer(more, ">u4").astype(np.int64))
+                start, length = drawn[:many] % row["_starts"], np.full(many, b)
+                if first + many == whole:
+                    length[-1] = n - (whole - 1) * b
+                chunk = start // span
+                order = np.lexsort((length, chunk))
+                chunk, length, start = chunk[order], length[order], (start - chunk * span).astype("<i4")[order]
+                begin = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (length[1:] != length[:-1])))
+                own = [batch.column(c).take(pa.array(np.full(len(begin), i))) for c in by]
+                packed = [part.tobytes() for part in np.split(start, begin[1:])]
+                yield pa.record_batch([*own, pa.array(chunk[begin]), pa.array(np.full(len(begin), sample)), pa.array(length[begin]), pa.array(packed, pa.binary())], names=[*by, "_chunk", "sample", "_len", "_at"])
+
+    return run
+
+
+def _totals(by: list[str]):
+    """The values of a chunk of places and the starts in it to (by, sample, total)."""
+
+    def run(values: pa.Table, draws: pa.Table) -> pa.Table:
+        v = values.column("_v").to_numpy()[np.argsort(values.column("_place").to_numpy())]
+        sums: dict[int, np.ndarray] = {}  # of as many neighbours as a block has, by their first
+        total: dict[int, float] = {}
+        for sample, length, at in zip(*(draws.column(c).to_pylist() for c in ("sample", "_len", "_at")), strict=True):
+            if length not in sums:
+                most = max(len(v) - length + 1, 0)
+                sums[length] = np.zeros(most)
+                for o in range(length):
+                    sums[length] += v[o : o + most]
+            total[sample] = total.get(sample, 0.0) + float(sums[length][np.frombuffer(at, "<i4")].sum())
+        own = [draws.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(total), np.int64))) for c in by]
+        return pa.table([*own, pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.float64())], names=[*by, "sample", "_total"])
+
+    return run
+
+
 def block_means(values: DataFrame, by: list[str], x: str, order: list[str], samples: int, block: int, circular: bool, seed: int = 42) -> DataFrame:
     """(by, sample, mean): means of n values drawn in blocks of neighbours with replacement, n as many as a group has.
 
     A block's start is a hash of seed, sample and block number, modulo n (circular: a block runs on at the start again) or
-    modulo the starts at which a whole block fits; the last block is cut to what is missing. Sums come from prefix sums, so
-    that a draw is two look-ups whatever the block's length: a sample of n values has n / block draws. block 1 draws single
-    values. Groups with fewer values than a block use blocks of their size.
+    modulo the starts at which a whole block fits; the last block is cut to what is missing. A sample of n values has
+    n / block draws, each one look-up; block 1 draws single values. Groups with fewer values than a block use blocks of
+    their size. Draws go to the values in packs of 4 bytes each, by chunks of SPAN places, so that a task holds a chunk and
+    its draws whatever the group's size.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    whole = Window.partitionBy(*by)
-    numbered = values.where(F.col(x).isNotNull()).select(*by, F.row_number().over(w).cast("long").alias("_i"), F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"), F.count("*").over(whole).alias("_n"))
-    sizes = numbered.groupBy(*by).agg(F.max("_n").alias("_n"), F.max_by("_s", "_i").alias("_total"))
-    sizes = sizes.withColumn("_b", F.least(F.lit(block).cast("long"), "_n"))
-    draws = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
-    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / F.col("_b")).cast("long") - 1)))
-    length = F.least("_b", F.col("_n") - F.col("_k") * F.col("_b"))
-    starts = F.col("_n") if circular else F.col("_n") - F.col("_b") + 1
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("_k").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = draws.withColumn("_from", number % starts).withColumn("_to", F.col("_from") + length)
-    # prefix sums up to a place; places over n have gone round once
-    ends = draws.select(*by, "sample", "_n", "_total", F.explode(F.array(F.struct(F.col("_to").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("_from").alias("at"), F.lit(-1).alias("sign")))).alias("e"))
-    ends = ends.withColumn("_round", (F.col("e.at") > F.col("_n")).cast("long")).withColumn("_i", F.col("e.at") - F.col("_round") * F.col("_n"))
-    met = ends.join(numbered.select(*by, "_i", "_s"), [*by, "_i"], "left")
-    part = F.col("e.sign") * (F.coalesce("_s", F.lit(0.0)) + F.col("_round") * F.col("_total"))
-    return met.groupBy(*by, "sample").agg((F.sum(part) / F.max("_n")).alias("mean"))
+    span = max(SPAN, block)
+    sound = values.where(F.col(x).isNotNull())
+    sizes = sound.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_b", F.least(F.lit(block).cast("long"), "_n"))
+    draws = sizes.withColumn("_starts", F.col("_n") if circular else F.col("_n") - F.col("_b") + 1).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    draws = draws.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(F.col("_n") / F.col("_b")) - 1) / DRAWS).cast("long"))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.select(*by).schema)
+    dealt = draws.repartition("sample", "_slice").sortWithinPartitions("sample", "_slice")
+    packed = dealt.mapInArrow(_draws(by, span, seed), f"{kinds}, _chunk long, sample long, _len long, _at binary")
+    # a place for each value, places past the end for the first ones; a chunk also has those that its last blocks run on to
+    numbered = sound.select(*by, F.col(x).cast("double").alias("_v"), (F.row_number().over(w) - 1).cast("long").alias("_place"))
+    if circular and block > 1:
+        again = numbered.where(F.col("_place") < block - 1).join(sizes.select(*by, "_n"), by).select(*by, "_v", (F.col("_place") + F.col("_n")).alias("_place"))
+        numbered = numbered.unionByName(again)
+    at = F.floor(F.col("_place") / span).cast("long")
+    also = F.when((F.col("_place") % span < block - 1) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    placed = numbered.withColumn("_chunk", F.explode(also))
+    keys = [*by, "_chunk"]
+    totals = placed.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(_totals(by), f"{kinds}, sample long, _total double")
+    return totals.groupBy(*by, "sample").agg(F.sum("_total").alias("_total")).join(sizes, by).select(*by, "sample", (F.col("_total") / F.col("_n")).alias("mean"))

@@ -184,7 +184,7 @@ m AS ({_draw_sql(8, True, 'circular')} UNION ALL {_draw_sql(8, False, 'plain')}
 SELECT method, kind, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high, round((1 + count(*) FILTER (mean <= 0)) / (count(*) + 1), 6) AS p FROM m GROUP BY method, kind""")
 def bootstrap_methods(spark: SparkSession, d: str) -> DataFrame:
     """Means of 20 samples of each kind's values by circular blocks, by blocks that end inside, and one by one."""
-    x = table(spark, d, "events").select(F.col("event_type").alias("kind"), "event_id", (F.col("value") - 50).alias("v"))
+    x = table(spark, d, "events").select(F.col("event_type").alias("kind"), "event_id", (F.col("value") - 50).alias("v")).where("kind IS NOT NULL")
     out = None
     for method, block, circular in (("circular", 8, True), ("plain", 8, False), ("iid", 1, True)):
         m = stats.block_means(x, ["kind"], "v", ["event_id"], 20, block, circular).withColumn("method", F.lit(method))
