@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions import text
-from barline.operators import events, joins, stats
+from barline.operators import events, joins, search, stats
 from barline.operators import indicators as I
 from barline.plans.series import EVENTS_SQL, HORIZON_SQL
 from barline.sources.tables import DAILY_SQL, HOUR, HOURLY_SQL, daily_prices, hourly, millis, table
@@ -259,10 +259,7 @@ SELECT query_id, vec_id, round(s, 5) AS similarity FROM s QUALIFY row_number() O
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors most like each whose id is divisible by 100, among all others."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    far = lambda a, b: -joins.dot(a, b) / F.sqrt(joins.dot(a, a) * joins.dot(b, b))
-    near = joins.nearest_rows(q, v, far, F.col("vec_id") != F.col("query_id"), 10)
-    return near.select("query_id", "vec_id", F.round(-F.col("d"), 5).alias("similarity"))
+    return search.cosine(v, F.col("vec_id") % 100 == 0, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 @query("""WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), c AS (SELECT label AS centre, i, avg(x) AS m FROM u GROUP BY label, i),
